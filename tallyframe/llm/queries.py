@@ -6,11 +6,12 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
 from .license_scan import op5_license_scan
 from .lm_score import op1_lm_score
+from .packing import op4_packing
 from .quality import op10_quality
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op5_license_scan, op7_exact_dedup, op8_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op4_packing, op5_license_scan, op7_exact_dedup, op8_language_id, op10_quality)}
 
 
 def oracle_sql():
