@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
 from .license_scan import op5_license_scan
@@ -11,7 +12,7 @@ from .quality import op10_quality
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op4_packing, op5_license_scan, op7_exact_dedup, op8_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op4_packing, op5_license_scan, op6_bpe, op7_exact_dedup, op8_language_id, op10_quality)}
 
 
 def oracle_sql():
