@@ -66,10 +66,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sketch = [(s[:KEEP] >> V.U64(32)).astype("<u4").tobytes() for s in sets]
                 nodes = [chosen(s, SEEDS)[1].view(np.int64) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sketch", "nodes"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), batch.column(2).slice(lo, hi - lo)], ["doc_id", "n", "fp", "sketch", "nodes", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n int, fp binary, sketch binary, nodes array<bigint>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, n int, fp binary, sketch binary, nodes array<bigint>, text_hash bigint")
 
 
 def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
@@ -218,7 +218,7 @@ def _verify(batches):
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, n_shingles) for every row: the least id of what it is linked to, over any number of links, and the number of documents that it is linked to directly."""
+    """(doc_id, class_id, n_links, n_shingles, text_hash) for every row: the least id of what it is linked to, over any number of links, and the number of documents that it is linked to directly."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     all_rows = table(sketches(docs), "sketches")
     some = all_rows.where("fp IS NOT NULL")
@@ -237,10 +237,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = joined.join(least, "component").select("fp", "class_id")
     classes = sets.select("fp", F.col("doc_id").alias("own"), "copies").join(links, "fp", "left").join(joined, "fp", "left")
     classes = classes.select("fp", F.coalesce("class_id", "own").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = some.select("doc_id", "n", "fp").join(classes, "fp").select("doc_id", "class_id", "n_links", F.col("n").cast("long").alias("n_shingles"))
-    none = all_rows.where("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
+    out = some.select("doc_id", "n", "fp", "text_hash").join(classes, "fp").select("doc_id", "class_id", "n_links", F.col("n").cast("long").alias("n_shingles"), "text_hash")
+    none = all_rows.where("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"), "text_hash")
     return out.unionByName(none)
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -11,10 +11,11 @@ from .lm_score import op1_lm_score
 from .ngram_join import op3_ngram_join
 from .packing import op4_packing
 from .quality import op10_quality
+from .suffix_dedup import op2_suffix_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op3_ngram_join, op4_packing, op5_license_scan, op6_bpe, op7_exact_dedup, op8_language_id, op9_embedding_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_ngram_join, op4_packing, op5_license_scan, op6_bpe, op7_exact_dedup, op8_language_id, op9_embedding_dedup, op10_quality)}
 
 
 def oracle_sql():
