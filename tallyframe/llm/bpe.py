@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by ranks.
 
-A pass over the texts splits them into pieces and writes, for each block of texts, its
-distinct words and the texts as numbers of words. Spark then folds the ranked merges over
-the bytes of each distinct word of the corpus, once, with higher-order functions and a
-literal table of all pairs of tokens that merge; a word's ids and its decoding (the
-concatenation of its tokens' bytes) go back to the blocks that use it.
+A pass over the texts splits them into pieces; the ranked merges are folded over the bytes
+of the distinct words only, all words of a block together, with one table of all pairs of
+tokens that merge; a worker keeps the words it has seen. Decoding concatenates the bytes of
+the tokens. Nothing moves between tasks.
+
+`folded()` is the same fold as a Spark expression (higher-order functions over byte arrays
+and a literal rank table). It gives the same ids, but at corpus size it took more CPU and
+disk than the limits allow (figures in the README), so the query folds in NumPy.
 
 Cases: null and empty texts have no tokens. Words longer than LONG bytes are merged with a
-heap in Python, to the same result, as a fold takes quadratic time. Rows are encoded one by
-one; repeated rows are kept; columns beside id and text are ignored. An empty table gives
-an empty result.
+heap, to the same result, as a fold takes quadratic time. Rows are encoded one by one;
+repeated rows are kept; columns beside id and text are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,25 +20,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 
 import numpy as np
 import pyarrow as pa
-import pyspark
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _pretok as P
 from . import _vec as V
-from ._shared import table
+from .packing import Coder
 
 LONG = 48
-#: Bytes of text in a block.
-BLOCK = 8 << 20
-_SLOTS = 1 << 18
-_ODD = (0x9E3779B1 >> 1, 0x85EBCA77 >> 1)
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -52,24 +47,30 @@ def pairs(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def _slot(key: int, k: int) -> int:
-    return (key * _ODD[k] >> 20) & (_SLOTS - 1)
+def _row(a, b):
+    """The row of a pair in the pair table; works on numbers and columns."""
+    return (a * 40503 + b % 16) % 65536
 
 
-def cuckoo(keys: dict[int, int]) -> list[list[int]]:
-    """Two flat tables; a key is at its slot in one of them, as key << 17 | rank, so that a lookup reads two places."""
-    tables = [[-1] * _SLOTS, [-1] * _SLOTS]
+def packed_rows(keys: dict[int, int]) -> tuple[list[int], list[int]]:
+    """The pair table as short rows pushed into one another: the entry of (a, b) is at base[row] + b and holds key << 17 | rank, so that a lookup is one read and a check of the key."""
+    rows: dict[int, list[tuple[int, int, int]]] = {}
     for key, rank in keys.items():
-        item, k = key << 17 | rank, 0
-        for _ in range(500):
-            at = _slot(item >> 17, k)
-            tables[k][at], item = item, tables[k][at]
-            if item < 0:
+        rows.setdefault(_row(key >> 16, key & 0xFFFF), []).append((key & 0xFFFF, key, rank))
+    size = 1 << max(10, (2 * len(keys)).bit_length())
+    flat, base, draw = np.full(size + 65536, -1, np.int64), np.zeros(65536, np.int64), np.random.default_rng(1)
+    for r, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        b, key, rank = (np.array(x) for x in zip(*row))
+        for _ in range(2000):
+            tries = draw.integers(0, size, 64)
+            free = (flat[tries[:, None] + b] < 0).all(1) & (len(set(b.tolist())) == len(b))
+            if free.any():
+                base[r] = tries[free.argmax()]
+                flat[base[r] + b] = key << 17 | rank
                 break
-            k = 1 - k
         else:
-            raise ValueError("the rank table has no place for a pair")
-    return tables
+            raise ValueError("the rank table has no place for a row")
+    return base.tolist(), flat.tolist()
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -79,32 +80,39 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def folded(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a binary column's word: one merge a step, the lowest rank first and of equal ranks the leftmost, until no pair merges."""
-    first, second = (_literal(t, "array<bigint>") for t in cuckoo(pairs(ranks)))
-    byte = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+    """Ids of a binary column's word: one merge a step, the lowest rank first and of equal ranks the leftmost, until no pair merges.
+
+    The state holds the ids between two marks that merge with nothing, and the rank of each
+    pair; a step renews the two pairs beside the merge.
+    """
+    mark = max(ranks.values()) + 1
+    base, flat = packed_rows(pairs(ranks))
+    # the literals stand once, outside the lambdas: Spark hashes a large literal anew for each expression around it
+    tables = F.array(F.struct(_literal(base, "array<int>").alias("base"), _literal(flat, "array<bigint>").alias("flat"), _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("byte")))
     chars = F.split(F.decode(word, "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: F.element_at(byte, F.ascii(c) + 1))
-    place = lambda key, k: (F.shiftright(key * F.lit(_ODD[k]), 20).bitwiseAND(F.lit(_SLOTS - 1)) + 1).cast("int")
+    return F.transform(tables, lambda t: _fold(t, chars, mark))[0]
 
-    def rank(key: Column) -> Column:
-        a, b = F.element_at(first, place(key, 0)), F.element_at(second, place(key, 1))
-        low = lambda x: x.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
-        return F.when(F.shiftright(a, 17) == key, low(a)).when(F.shiftright(b, 17) == key, low(b))
 
-    def merged(ids: Column, ranked: Column) -> Column:
-        best = F.array_min(ranked)
-        at = F.array_position(ranked, best).cast("int")
-        new = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))
-        return F.when(best.isNull(), F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(new.alias("ids"), (F.size(new) > 1).alias("more")))
+def _fold(table: Column, chars: Column, mark: int) -> Column:
+    start = F.concat(F.array(F.lit(mark)), F.transform(chars, lambda c: F.get(table["byte"], F.ascii(c))), F.array(F.lit(mark)))
+
+    def rank(a: Column, b: Column) -> Column:
+        entry = F.get(table["flat"], F.get(table["base"], _row(a, b)) + b)
+        return F.when(F.shiftright(entry, 17) == a.cast("bigint") * 65536 + b, entry.bitwiseAND(F.lit((1 << 17) - 1)).cast("int"))
+
+    def merged(state: Column, at: Column) -> Column:
+        ids, ranked = state["ids"], state["ranks"]
+        new, many = F.get(ranked, at - 1), F.lit(1 << 20)
+        beside = F.array(rank(F.get(ids, at - 2), new), rank(new, F.get(ids, at + 1)))
+        return F.struct(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, many)).alias("ids"), F.concat(F.slice(ranked, F.lit(1), at - 2), beside, F.slice(ranked, at + 2, many)).alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
-        ids = state["ids"]
-        keys = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda a, b: a.cast("bigint") * 65536 + b)
-        bound = F.transform(F.array(F.transform(keys, rank)), lambda ranked: merged(ids, ranked))
-        return F.when(state["more"], bound[0]).otherwise(state)
+        # a pair's rank is the id of what it makes; null: no pair merges
+        at = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
+        return F.when(F.array_min(state["ranks"]).isNull(), state).otherwise(F.transform(F.array(at), lambda p: merged(state, p))[0])
 
-    state = F.struct(start.alias("ids"), (F.size(start) > 1).alias("more"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), state, step, lambda s: s["ids"])
+    first = F.transform(F.array(start), lambda ids: F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank).alias("ranks")))[0]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), first, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -135,95 +143,106 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """One row a block of texts: its ids of documents, words, and for each document how many words and which (32-bit numbers, by byte planes, compressed)."""
+class RankCoder(Coder):
+    """Coder whose pieces are merged by ranks."""
 
-    def run(batches):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 2_000_000):
         import public_tokenizers
         import regex
-        import zstandard
-
-        pattern, n, part = regex.compile(public_tokenizers.PATTERN), itertools.count(), pyspark.TaskContext.get().partitionId()
-        for batch in batches:
-            for lo, hi, data, off in V.chunks(batch.column(1), size):
-                start, end, first = P.split(data, off, pattern)
-                keys, one, number = P.keys(data, start, end) if len(start) else (start, start, start)
-                raw = bytes(data)
-                words = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
-                planes = number.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                docs = batch.column(0).slice(lo, hi - lo)
-                yield pa.record_batch([pa.array([part << 32 | next(n)]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), docs), pa.array([np.diff(first).astype(np.int32)]), pa.array([zstandard.compress(planes, 1)], pa.binary()), pa.array([words], pa.list_(pa.binary()))], ["block", "ids", "sizes", "codes", "words"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<int>, codes binary, words array<binary>")
+        self.ranks, self.limit, self.special = ranks, limit, []
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.base, self.table = (np.array(x) for x in packed_rows(pairs(ranks)))
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, r in ranks.items():
+            tokens[r] = token
+        self.pieces = _joined(tokens)
+        self.numbers = _joined([b"%d," % i for i in range(len(tokens))])
+        self.clear()
+
+    def fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of each word's. One merge a round in every word: the lowest rank, of equal ones the leftmost."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), size)
+        done_ids, done_words, none = [], [], np.int64(1 << 62)
+        while len(ids):
+            a, b = ids[:-1], ids[1:]
+            entry = self.table[self.base[_row(a, b)] + b]
+            hit = (entry >> 17 == (a << 16 | b)) & (word[1:] == word[:-1])
+            best = np.full(len(ids), none)
+            best[:-1][hit] = ((entry[hit] & 0x1FFFF) << 40) | np.flatnonzero(hit)
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(best, start)
+            open_ = best < none
+            at = best[open_] & ((1 << 40) - 1)
+            ids[at] = best[open_] >> 40
+            live = np.repeat(open_, np.diff(np.append(start, len(ids))))
+            done_ids.append(ids[~live])
+            done_words.append(word[~live])
+            live[at + 1] = False
+            ids, word = ids[live], word[live]
+        if not done_ids:
+            return np.zeros(0, np.int64), size
+        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def add(self, keys: np.ndarray, words: list[str]) -> None:
+        words = [w.encode() for w in words]
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        flat, size = self.fold([b"" if len(w) > LONG else w for w in words])
+        if long:
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            for i in long:
+                parts[i] = np.array(merge_long(words[i], self.ranks), np.int64)
+            flat, size = np.concatenate(parts), np.array([len(x) for x in parts])
+        self.put(keys, flat.astype(np.uint32), size)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens, one after another."""
+        return _gather(self.pieces, ids)
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def _gather(parts: tuple[np.ndarray, np.ndarray], which: np.ndarray) -> np.ndarray:
+    flat, at = parts
+    return flat[P.ragged(at[which], at[which + 1] - at[which])]
+
+
+_CODERS: dict[str, RankCoder] = {}
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids and the decoded bytes besides on request. path: of the rank file."""
 
-
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """words (word, ...) with `ids`, for the rows where `first` holds; null elsewhere."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf("array<int>")
-    def by_heap(of):
-        return of.map(lambda w: None if w is None else merge_long(bytes(w), shared.value))
-
-    long = F.octet_length("word") > LONG
-    short = F.when(F.col("first") & ~long, folded(F.col("word"), ranks))
-    return words.withColumn("short", short).withColumn("long", by_heap(F.when(F.col("first") & long, F.col("word")))).withColumn("ids", F.coalesce("short", "long")).drop("short", "long")
-
-
-def dictionary(made: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, code, n, ids, decoded) of each word of each block; a word is folded once, on its first row.
-
-    A block has a word once, so the rows of the commonest word are as many as the blocks.
-    """
-    rows = made.select("block", F.posexplode_outer("words").alias("code", "word")).where("word IS NOT NULL")
-    by = Window.partitionBy("word").orderBy("block")
-    rows = encode_words(rows.withColumn("first", F.row_number().over(by) == 1), ranks)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, r in ranks.items():
-        pieces[r] = token
-    literal = _literal([f'"{base64.b64encode(t).decode()}"' for t in pieces], "array<binary>")
-    ids = F.col("ids")
-    decoded = F.when(ids.isNotNull(), F.aggregate(F.transform(ids, lambda i: F.element_at(literal, i + 1)), F.lit(bytearray()), lambda a, b: F.concat(a, b)))
-    entry = F.when(ids.isNotNull(), F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), decoded.alias("decoded")))
-    rows = rows.withColumn("entry", F.first(entry, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.select("block", "code", "entry.n", F.col("entry.ids").alias("ids"), "entry.decoded")
-
-
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with the ids and the decoded bytes besides on request."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = table(blocks(docs), "bpe-blocks")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def put(texts: pa.Table, words: pa.Table) -> pa.Table:
-        import zstandard
-
-        out = [[], [], [], [], [], []]
-        order = np.empty(words.num_rows, np.int64)
-        order[words.column("code").to_numpy()] = np.arange(words.num_rows)
-        words = words.take(pa.array(order))
-        n = words.column("n").to_numpy().astype(np.int64)
-        ids = [x.encode() for x in words.column("ids").to_pylist()]
-        decoded = words.column("decoded").to_pylist()
-        for row in texts.to_pylist():
-            planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8)
-            codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-            at = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
-            total = np.concatenate([[0], np.cumsum(n[codes])])
-            for doc, a, b in zip(row["ids"], at[:-1].tolist(), at[1:].tolist()):
-                part = codes[a:b].tolist()
-                text, back = b",".join(map(ids.__getitem__, part)), b"".join(map(decoded.__getitem__, part))
-                for to, x in zip(out, (doc, int(total[b] - total[a]), hashlib.sha256(text).hexdigest(), hashlib.sha256(back).hexdigest(), [int(i) for i in text.split(b",") if i] if with_ids else None, back if with_ids else None)):
-                    to.append(x)
-        return pa.Table.from_arrays([pa.array(out[0], texts.schema.field("ids").type.value_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-
-    out = made.select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary(made.select("block", "words"), ranks).groupBy("block")).applyInArrow(put, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary")
-    return out if with_ids else out.drop("ids", "decoded")
+    def run(batches):
+        if path not in _CODERS:
+            _CODERS[path] = RankCoder(load_ranks(path))
+        coder = _CODERS[path]
+        for batch in batches:
+            for lo, hi, data, off in V.chunks(batch.column(1), 2 << 20):
+                ids, border = coder.encode(data, off, None)
+                ids = ids.astype(np.int64)
+                text, back = _gather(coder.numbers, ids), coder.decode(ids)
+                in_text, in_back = (np.concatenate([[0], np.cumsum(np.diff(at)[ids])])[border].tolist() for at in (coder.numbers[1], coder.pieces[1]))
+                text, back = memoryview(text), memoryview(back)
+                shown = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(in_text[:-1], in_text[1:])]
+                decoded = [hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(in_back[:-1], in_back[1:])]
+                out = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(border)), pa.array(shown), pa.array(decoded)]
+                if with_ids:
+                    out += [pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array([bytes(back[a:b]) for a, b in zip(in_back[:-1], in_back[1:])], pa.binary())]
+                yield pa.record_batch(out, names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

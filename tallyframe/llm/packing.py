@@ -80,15 +80,18 @@ class Coder:
                 self.core = None
             ids, self.checked = exact, len(exact) > 1000
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = len(self.start) + np.arange(len(ids))
+        self.put(keys, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum())), size)
+
+    def put(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        new = len(self.start) + np.arange(len(size))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
         to = np.searchsorted(self.keys, keys)
         self.keys, self.at = np.insert(self.keys, to, keys), np.insert(self.at, to, new)
 
-    def encode(self, data: np.ndarray, off: np.ndarray, close: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, each row with `close` after it, and the rows' borders in them."""
+    def encode(self, data: np.ndarray, off: np.ndarray, close: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, each row with `close` (if any) after it, and the rows' borders in them."""
         raw = bytes(data)
         if any(s in raw for s in self.special):  # their strings are tokens of their own
             rows = [np.array([*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, close], np.uint32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
@@ -107,6 +110,9 @@ class Coder:
                 self.add(keys[~has], [raw[a:b].decode() for a, b in zip(start[one[~has]].tolist(), end[one[~has]].tolist())])
                 to = np.searchsorted(self.keys, keys)
             entry = self.at[to][number]
+        if close is None:
+            border = np.concatenate([[0], np.cumsum(self.size[entry])])
+            return self.flat[P.ragged(self.start[entry], self.size[entry])], border[first]
         flat = np.append(self.flat, np.uint32(close))
         starts, sizes = np.append(self.start, len(self.flat)), np.append(self.size, 1)
         entry = np.insert(entry, first[1:], len(self.start))
