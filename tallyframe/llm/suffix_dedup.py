@@ -8,6 +8,8 @@ each window), so that equal windows have equal anchors in equal places.
 
   pass 1  the digit is the anchor: bundles whose anchor occurs once leave. Bundles that
           agree in all their bytes are repeated as a whole and done.
+          Of the rest, each half of a bundle has the anchor and HALF bytes on one side as
+          digit. Alone: leaves.
   pass 2  what is left is cut into STEPS sub-bundles; the digit is the bytes that all windows
           of a sub-bundle share. Alone: leaves. Equal in all bytes: done.
   pass 3  single suffixes; the digit is the whole window. Groups of two places or more are
@@ -40,6 +42,8 @@ LENGTH, GRAM = 200, 32
 SPREAD = LENGTH - GRAM + 1
 STEP = 13
 STEPS = SPREAD // STEP
+#: Windows that start HALF bytes or more before the anchor hold the HALF bytes before it, the others as many after it.
+HALF = SPREAD // 2
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def bundles(docs: DataFrame) -> DataFrame:
-    """docs (u, text) -> (g, c, u, a, lo, hi): keys of the anchor and of all bytes of its bundle, the text, and places."""
+    """docs (u, text) -> (g, c, l, r, u, a, lo, hi): keys of the anchor, of all bytes of its bundle and of its halves (null where no window has them), the text, and places."""
 
     def run(batches):
         for batch in batches:
@@ -82,10 +86,13 @@ def bundles(docs: DataFrame) -> DataFrame:
                     continue
                 g = V.span_hash(V.prefix(V.TABLES[1][data]), place, place + GRAM)
                 c = V.span_hash(V.prefix(V.TABLES[0][data]), lo, hi + LENGTH)
-                base = off[row]
-                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(u[first + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, lo, hi))], ["g", "c", "u", "a", "lo", "hi"])
+                base, sums = off[row], V.prefix(V.TABLES[0][data])
+                left, right = place - lo < HALF, place - hi > HALF
+                l = V.span_hash(sums, np.maximum(place - HALF, 0), place + GRAM)
+                r = V.span_hash(sums, place, np.minimum(place + GRAM + HALF, len(data)))
+                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(l.view(np.int64), mask=left), pa.array(r.view(np.int64), mask=right), pa.array(u[first + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, lo, hi))], ["g", "c", "l", "r", "u", "a", "lo", "hi"])
 
-    return docs.mapInArrow(run, "g bigint, c bigint, u bigint, a int, lo int, hi int")
+    return docs.mapInArrow(run, "g bigint, c bigint, l bigint, r bigint, u bigint, a int, lo int, hi int")
 
 
 def contexts(batches):
@@ -102,7 +109,7 @@ def contexts(batches):
 
 
 def sub_bundles(batches):
-    """Contexts -> (core, whole, u, a, r, lo, hi, p): keys of what all windows of a sub-bundle share and of all its bytes; p: its place in the text."""
+    """Contexts -> (core, whole, u, q): keys of what all windows of a sub-bundle share and of all its bytes, and its place: a, number, and how far its first and last start are from the latest."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -119,8 +126,8 @@ def sub_bundles(batches):
         core = V.span_hash(sums, top + shift[row], top - STEP + 1 + LENGTH + shift[row])
         whole = V.span_hash(sums, low + shift[row], high + LENGTH + shift[row])
         u = batch.column(0).to_numpy()[row]
-        p = V.mix(u.view(V.U64) ^ V.mix(top.astype(V.U64)))
-        yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in (core, whole)), pa.array(u), *(pa.array(x.astype(np.int32)) for x in (a[row], r, low, high)), pa.array(p.view(np.int64))], ["core", "whole", "u", "a", "r", "lo", "hi", "p"])
+        q = (a[row] << 12) | (r << 8) | ((top - low) << 4) | (top - high)
+        yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in (core, whole)), pa.array(u), pa.array(q)], ["core", "whole", "u", "q"])
 
 
 def suffixes(batches):
@@ -163,23 +170,34 @@ def repeated(docs: DataFrame) -> DataFrame:
     by_c = kept.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.xxhash64("u", "a")).alias("p"))
     by_g = by_c.groupBy("g").agg(F.count("*").alias("k"))
     state = by_c.join(by_g, "g").select("g", "c", "m", "k", "p")
-    told = _settled(kept.join(state, ["g", "c"]).where("m > 1 OR k > 1"), "bundles")
+    told = _settled(kept.join(state, ["g", "c"]).where("m > 1 OR k > 1").drop("g", "c"), "bundles")
     drop_table(kept)
     done = told.where("m > 1").groupBy("u", "a").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")).select("u", "lo", "hi")
-    left = told.where((F.col("k") > 1) & (F.xxhash64("u", "a") == F.col("p")))
-    left = left.groupBy("u").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("bundles"))
-    one = docs.groupBy("u").agg(F.min("d").alias("d")).join(left, "u")
+    left = told.where((F.col("k") > 1) & (F.xxhash64("u", "a") == F.col("p"))).select("u", "a", "lo", "hi", "l", "r", "p").distinct()
+    early, late = F.greatest(F.col("a") - F.lit(HALF), F.col("lo")), F.least(F.col("a") - F.lit(HALF), F.col("hi"))
+    for half, first, last in (("l", F.col("lo"), late), ("r", early, F.col("hi"))):
+        one_half = left.where(f"{half} IS NOT NULL").select(half, "p", "u", "a", first.alias("lo"), last.alias("hi")).where("lo <= hi")
+        often = one_half.groupBy(half).agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select(half)
+        alive = one_half.join(often, half).select("u", "a", "lo", "hi")
+        halves = alive if half == "l" else halves.unionByName(alive)
+    halves = halves.groupBy("u", "a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    halves = halves.groupBy("u").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("bundles"))
+    one = docs.groupBy("u").agg(F.min("d").alias("d")).join(halves, "u")
     texts = docs.select("u", "d", "text").join(one.select(F.col("u").alias("u2"), F.col("d").alias("d2"), "bundles"), (F.col("u") == F.col("u2")) & F.col("d").eqNullSafe(F.col("d2")))
     held = texts.select("u", "text", "bundles").mapInArrow(contexts, "u bigint, a int, lo int, hi int, bytes binary")
     held = _settled(held, "contexts")
-    parts = held.mapInArrow(sub_bundles, "core bigint, whole bigint, u bigint, a int, r int, lo int, hi int, p bigint")
-    often = parts.groupBy("core").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("core")
+    parts = held.mapInArrow(sub_bundles, "core bigint, whole bigint, u bigint, q bigint")
+    latest = F.expr(f"(q >> 12) - ((q >> 8) & 15) * {STEP}")
+    place = F.xxhash64("u", latest)
+    often = parts.groupBy("core").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("core")
     parts = _settled(parts.join(often, "core"), "parts")
-    by_whole = parts.groupBy("core", "whole").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
+    by_whole = parts.groupBy("core", "whole").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
     by_core = by_whole.groupBy("core").agg(F.count("*").alias("k"))
-    parts = _settled(parts.join(by_whole.join(by_core, "core"), ["core", "whole"]), "parts")
-    done = done.unionByName(parts.where("p0 <> p1").select("u", "lo", "hi"))
-    open_ = parts.where("k > 1 AND p = p0").groupBy("u", "a").agg(F.collect_set(F.struct(F.col("lo").alias("l"), F.col("hi").alias("h"))).alias("parts"))
+    parts = parts.join(by_whole.join(by_core, "core"), ["core", "whole"])
+    span = [F.expr("cast(q >> 12 as int)").alias("a"), (latest - F.expr("(q >> 4) & 15")).cast("int").alias("lo"), (latest - F.expr("q & 15")).cast("int").alias("hi")]
+    parts = _settled(parts.select("u", *span, (F.col("p0") != F.col("p1")).alias("done"), ((F.col("k") > 1) & (place == F.col("p0"))).alias("open")), "parts")
+    done = done.unionByName(parts.where("done").select("u", "lo", "hi"))
+    open_ = parts.where("open").groupBy("u", "a").agg(F.collect_set(F.struct(F.col("lo").alias("l"), F.col("hi").alias("h"))).alias("parts"))
     single = held.dropDuplicates(["u", "a"]).join(open_, ["u", "a"]).select("u", "a", "lo", "hi", "bytes", "parts").mapInArrow(suffixes, "w bigint, w2 bigint, u bigint, s int, p bigint")
     single = _settled(single, "suffixes")
     often = single.groupBy("w", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w", "w2")
