@@ -7,10 +7,11 @@ sets that pick the same token meet in the child. Nodes with few sets are compare
 all, others are split further. RUNS independent trees run side by side, until a pair at
 the threshold is missed with a chance under 1e-3.
 
-At a node with many sets, a leader is compared with all of them. A set within 0.08 of the
-leader need not go further: whatever is within 0.2 of it is within 0.28 of the leader, by the
-triangle inequality of the Jaccard distance, and has been linked to it there. So a large
-group of near copies takes steps in proportion to its size. What still is together at the
+At a node with many sets, a leader is compared with all of them. A set within 0.3 of the
+leader need not go further: whatever is within 0.2 of it is within 0.5 of the leader, by the
+triangle inequality of the Jaccard distance, and is linked to it there. (The estimate that
+stands for 0.3 is 0.18, three standard errors nearer.) So a large group of near copies
+takes steps in proportion to its size. What still is together at the
 last level is compared in blocks.
 
 Comparisons at nodes are estimates from the least hashes of the sets and only propose. The
@@ -39,7 +40,7 @@ from ._shared import components, table
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, LEVELS = 12, 4
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
-KEEP, PROPOSE, SAME = 96, 0.6, 0.92
+KEEP, PROPOSE, SAME = 96, 0.5, 0.82
 #: Sets at a node that are compared all with all; sets in a block.
 SMALL, BLOCK = 128, 512
 SEEDS = V.mix(np.arange(1, RUNS + 1, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
@@ -93,7 +94,7 @@ def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], n
 
 
 def _compare(batches):
-    """Sorted rows (node, side, fp, n, sketch) of whole nodes -> a forest of the proposed pairs. side 2: with all; 0 and 1: across."""
+    """Sorted rows (node, side, fp, n, sketch, known) of whole nodes -> a forest of the proposed pairs, less what joins known rows, which are one already. side 2: with all; 0 and 1: across."""
     for t in V.grouped(batches, ["node", "i", "j"]):
         fp, n, side = t.column("fp").to_pylist(), t.column("n").to_numpy(), t.column("side").to_numpy()
         sets = [np.frombuffer(x, "<u4") for x in t.column("sketch").to_pylist()]
@@ -105,63 +106,69 @@ def _compare(batches):
         else:
             x, y = np.nonzero(estimates([sets[i] for i in a], n[a], [sets[i] for i in b], n[b]) >= PROPOSE)
             hit = zip(a[x].tolist(), b[y].tolist())
-        forest = V.Forest(len(fp))
+        forest, out = V.Forest(len(fp)), []
+        known = np.flatnonzero(t.column("known").to_numpy(zero_copy_only=False))
+        for x in known[1:].tolist():  # linked by their leader, which has been told
+            forest.union(int(known[0]), x)
         for x, y in hit:
-            if x != y:
+            if forest.find(x) != forest.find(y):
                 forest.union(x, y)
-        out = [(fp[x], fp[r]) for x in range(len(fp)) if (r := forest.find(x)) != x]
+                out.append((fp[x], fp[y]))
         if out:
             yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
 
 def _descend(level: int):
-    """Rows (node, fp, n, sketch, leader, ln, lsketch) of large nodes -> links to leaders (child null) and children of the sets that go on."""
+    """Rows (node, fp, n, sketch, leader, ln, lsketch) of large nodes -> similarity to the leader and children of each set."""
 
     def run(batches):
         for batch in batches:
-            a, b, child, of = [], [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "fp", "n", "sketch", "leader", "ln", "lsketch")))
-            for node, fp, n, sketch, leader, ln, lsketch in rows:
-                x = np.frombuffer(sketch, "<u4")
-                like = 1.0 if fp == leader else estimate(x, n, np.frombuffer(lsketch, "<u4"), ln)
-                if like >= PROPOSE and fp != leader:
-                    a.append(fp)
-                    b.append(leader)
-                if like < SAME:
-                    found = chosen(x.astype(V.U64), np.array([node & (2**64 - 1)], V.U64) ^ V.U64(level << 32), 2.0)[1]
-                    child += found.view(np.int64).tolist()
-                    of += [fp] * len(found)
-            null = [None]
-            yield pa.record_batch([pa.array(a + of, pa.binary()), pa.array(b + null * len(of), pa.binary()), pa.array(null * len(a) + child, pa.int64())], ["a", "b", "node"])
+            like, children = [], []
+            node, fp, n, sketch, leader, ln, lsketch = (batch.column(c).to_pylist() for c in ("node", "fp", "n", "sketch", "leader", "ln", "lsketch"))
+            for at, f, k, s, lf, lk, ls in zip(node, fp, n, sketch, leader, ln, lsketch):
+                x = np.frombuffer(s, "<u4")
+                like.append(1.0 if f == lf else estimate(x, k, np.frombuffer(ls, "<u4"), lk))
+                found = chosen(x.astype(V.U64), np.array([at & (2**64 - 1)], V.U64) ^ V.U64(level << 32), 1.5)[1] if like[-1] < SAME else np.zeros(0, V.U64)
+                children.append(found.view(np.int64))
+            yield pa.record_batch([batch.column("node"), batch.column("fp"), batch.column("leader"), pa.array(like, pa.float64()), pa.array(children, pa.list_(pa.int64()))], ["node", "fp", "leader", "alike", "children"])
 
     return run
 
 
+def _pairs(rows: DataFrame, nodes: DataFrame, about: DataFrame) -> DataFrame:
+    """rows (node, fp, known) of nodes (node, m, sig) compared all with all, in blocks. Nodes of the same sets, in whatever tree, are compared once."""
+    once = nodes.groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    near = rows.join(once, "node").join(about, "fp")
+    near = near.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")).withColumn("o", F.explode_outer(F.expr("sequence(0, nb - 1)")))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    near = near.select("node", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "fp", "n", "sketch", "known")
+    near = near.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return table(near.mapInArrow(_compare, "a binary, b binary"), "pairs")
+
+
 def propose(sets: DataFrame) -> DataFrame:
     """sets: (fp, n, sketch, nodes), one row a class. The pairs (a, b) that link what the trees put together."""
     spark = sets.sparkSession
     rows, edges = sets.select(F.explode("nodes").alias("node"), "fp").distinct(), []
     about = sets.select("fp", "n", "sketch")
     for level in range(1, LEVELS + 1):
-        last = level == LEVELS
         stats = table(rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig"), F.min_by("fp", F.xxhash64("node", "fp")).alias("leader")).where("m > 1"), "nodes")
-        small = stats if last else stats.where(F.col("m") <= SMALL)
-        # nodes of the same sets, in whatever tree, are compared once
-        once = small.groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-        near = rows.join(once, "node").join(about, "fp")
-        block = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-        near = near.withColumn("b", block).withColumn("o", F.explode_outer(F.expr("sequence(0, nb - 1)")))
-        side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-        near = near.select("node", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "fp", "n", "sketch")
-        near = near.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-        edges.append(table(near.mapInArrow(_compare, "a binary, b binary"), "pairs"))
-        if last or not stats.where(F.col("m") > SMALL).limit(1).count():
+        edges.append(_pairs(rows.withColumn("known", F.lit(False)), stats.where(F.col("m") <= SMALL), about))
+        large = stats.where(F.col("m") > SMALL)
+        if not large.limit(1).count():
             break
-        lead = stats.where(F.col("m") > SMALL).select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")
+        lead = large.select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")
         down = rows.join(lead, "node").join(about, "fp").select("node", "fp", "n", "sketch", "leader", "ln", "lsketch")
-        down = table(down.mapInArrow(_descend(level), "a binary, b binary, node bigint"), "down")
-        edges.append(down.where("node IS NULL").select("a", "b"))
-        rows = down.where("node IS NOT NULL").select("node", F.col("a").alias("fp")).distinct()
+        down = table(down.mapInArrow(_descend(level), "node bigint, fp binary, leader binary, alike double, children array<bigint>"), "down")
+        edges.append(down.where((F.col("alike") >= PROPOSE) & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b")))
+        # where the leader is linked with all, they are one component already
+        apart = down.groupBy("node").agg(F.min("alike").alias("least")).where(F.col("least") < PROPOSE).select("node")
+        on = down.where(F.col("alike") < SAME).join(apart, "node")
+        if level < LEVELS:
+            rows = on.select(F.explode("children").alias("node"), "fp").distinct()
+        else:
+            rest = on.select("node", "fp", (F.col("alike") >= PROPOSE).alias("known"))
+            edges.append(_pairs(rest, rest.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig")), about))
     out = spark.createDataFrame([], "a binary, b binary")
     for e in edges:
         out = out.unionByName(e)
