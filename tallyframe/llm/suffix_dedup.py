@@ -173,6 +173,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     told = _settled(kept.join(state, ["g", "c"]).where("m > 1 OR k > 1").drop("g", "c"), "bundles")
     drop_table(kept)
     done = told.where("m > 1").groupBy("u", "a").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")).select("u", "lo", "hi")
+    done = _settled(done, "done")
     left = told.where((F.col("k") > 1) & (F.xxhash64("u", "a") == F.col("p"))).select("u", "a", "lo", "hi", "l", "r", "p").distinct()
     early, late = F.greatest(F.col("a") - F.lit(HALF), F.col("lo")), F.least(F.col("a") - F.lit(HALF), F.col("hi"))
     for half, first, last in (("l", F.col("lo"), late), ("r", early, F.col("hi"))):
@@ -186,23 +187,29 @@ def repeated(docs: DataFrame) -> DataFrame:
     texts = docs.select("u", "d", "text").join(one.select(F.col("u").alias("u2"), F.col("d").alias("d2"), "bundles"), (F.col("u") == F.col("u2")) & F.col("d").eqNullSafe(F.col("d2")))
     held = texts.select("u", "text", "bundles").mapInArrow(contexts, "u bigint, a int, lo int, hi int, bytes binary")
     held = _settled(held, "contexts")
+    drop_table(told)
     parts = held.mapInArrow(sub_bundles, "core bigint, whole bigint, u bigint, q bigint")
     latest = F.expr(f"(q >> 12) - ((q >> 8) & 15) * {STEP}")
     place = F.xxhash64("u", latest)
     often = parts.groupBy("core").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("core")
-    parts = _settled(parts.join(often, "core"), "parts")
-    by_whole = parts.groupBy("core", "whole").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
+    some = _settled(parts.join(often, "core"), "parts")
+    by_whole = some.groupBy("core", "whole").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
     by_core = by_whole.groupBy("core").agg(F.count("*").alias("k"))
-    parts = parts.join(by_whole.join(by_core, "core"), ["core", "whole"])
+    parts = some.join(by_whole.join(by_core, "core"), ["core", "whole"])
     span = [F.expr("cast(q >> 12 as int)").alias("a"), (latest - F.expr("(q >> 4) & 15")).cast("int").alias("lo"), (latest - F.expr("q & 15")).cast("int").alias("hi")]
     parts = _settled(parts.select("u", *span, (F.col("p0") != F.col("p1")).alias("done"), ((F.col("k") > 1) & (place == F.col("p0"))).alias("open")), "parts")
-    done = done.unionByName(parts.where("done").select("u", "lo", "hi"))
+    drop_table(some)
+    whole = done.unionByName(parts.where("done").select("u", "lo", "hi"))
     open_ = parts.where("open").groupBy("u", "a").agg(F.collect_set(F.struct(F.col("lo").alias("l"), F.col("hi").alias("h"))).alias("parts"))
     single = held.dropDuplicates(["u", "a"]).join(open_, ["u", "a"]).select("u", "a", "lo", "hi", "bytes", "parts").mapInArrow(suffixes, "w bigint, w2 bigint, u bigint, s int, p bigint")
     single = _settled(single, "suffixes")
+    drop_table(held)
     often = single.groupBy("w", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w", "w2")
     found = single.join(often, ["w", "w2"]).select("u", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return done.unionByName(found).distinct().groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    out = _settled(whole.unionByName(found).distinct().groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    for gone in (done, parts, single):
+        drop_table(gone)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
@@ -214,7 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text, F.octet_length(text)).alias("u"), text.alias("text"))
-    spans = _settled(repeated(rows.select("u", F.col(f"row.`{id_col}`").alias("d"), "text")), "spans")
+    spans = repeated(rows.select("u", F.col(f"row.`{id_col}`").alias("d"), "text"))
     kept_row = rows.schema["row"].dataType
 
     def cut(batches):
