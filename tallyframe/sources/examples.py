@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXAMPLE = "context string, text string, labels variant, family string, split string, meta map<string,string>"
@@ -32,6 +32,19 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).where(F.trim("value") != "").select(line_inputs(F.col("value")).alias("i")).select("i.*")
 
 
+def read_embedding_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, text) of lines to embed: blank lines count too; bad JSON fails; without an id of its own a line has its number, from 0, over the files in order."""
+    place = ["file", "block"]
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    # one row a block of a file, so that the order is made of few rows
+    blocks = lines.groupBy(*place).agg(F.count("*").alias("n"), F.min("m").alias("least"))
+    blocks = blocks.select(*place, "least", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(*place)) - F.col("n")).alias("before"))
+    number = F.col("before") + F.col("m") - F.col("least")
+    is_json = F.trim("value").startswith("{")
+    parsed = F.from_json(F.when(is_json, F.trim("value")), "id string, text string", {"mode": "FAILFAST"})
+    return lines.join(blocks, place).select(F.coalesce(parsed["id"], number.cast("string")).alias("id"), F.when(is_json, F.coalesce(parsed["text"], F.lit(""))).otherwise(F.col("value")).alias("text"))
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """(value, weight, metadata): tab-separated, # starts a comment, a missing weight is 1."""
     part = F.split("value", "\t")
