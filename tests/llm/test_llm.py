@@ -177,6 +177,50 @@ def test_lm_score(spark):
     assert got[0]["score"] < 0 < got[1]["score"] and got[2]["score"] is None and got[2]["n_tokens"] == 0
 
 
+def test_lm_score_counts_every_event(spark, monkeypatch):
+    """More distinct words and bigrams than any fixed table of 2^18 and 2^20 could keep apart, against exact counts."""
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 20)
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**7)}" for _ in range(3000)) for _ in range(400)]
+    texts += texts[:2] + [None, "", "The the THE, the", "x"] + ["the w5 " + " ".join(f"w{rnd.randrange(30)}" for _ in range(200)) for _ in range(40)]
+    aim = texts[:3] + texts[-20:] + ["the only words of the target", None]
+    split = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    models = []
+    for corpus in (aim, texts):
+        one, two = collections.Counter(), collections.Counter()
+        for w in map(split, corpus):
+            one.update(w)
+            two.update(zip(w, w[1:]))
+        models.append((one, two, sum(one.values())))
+    assert len(models[1][0]) > 1 << 18 and len(models[1][1]) > 1 << 20
+    vocabulary = len(models[0][0].keys() | models[1][0].keys()) + 1
+
+    def loss(w, model, own):
+        one, two, total = model
+        out = 0.0
+        for i, x in enumerate(w):
+            p = (one[x] + 0.1) / (total + 0.1 * vocabulary)
+            seen = one[w[i - 1]] - own if i else 0
+            if seen > 0:
+                p = 0.6 * (two[w[i - 1], x] - own) / seen + 0.4 * p
+            out -= np.log(p)
+        return out / len(w)
+
+    d = docs(spark, texts)
+    aimed = lm_score.fit(docs(spark, aim))
+    got, same = by_id(lm_score.score(d, aimed)), by_id(lm_score.score(d, aimed, lm_score.fit(d)))
+    assert got == same and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = split(t)
+        assert got[i]["n_tokens"] == len(w)
+        if w:
+            expected = loss(w, models[0], 0), loss(w, models[1], 1)
+            assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx(expected, abs=1e-6)
+            assert got[i]["score"] == pytest.approx(expected[0] - expected[1], abs=1e-6)
+        else:
+            assert got[i]["score"] is None
+
+
 def test_gam():
     x = np.random.default_rng(0).normal(size=(3000, len(quality.NAMES))).astype(np.float32)
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
