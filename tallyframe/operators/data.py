@@ -103,3 +103,17 @@ def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the first in order, found by partial aggregation."""
     best = df.groupBy(*keys).agg(F.min(order).alias(order))
     return df.join(best, [*keys, order], "left_semi")
+
+
+def previous(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = 1000) -> DataFrame:
+    """rows with `name`: the value of the row before by a numeric order within the key, equal ones by value; nulls are last.
+
+    Ranges of `span` numbers are sorted one by one, and only their last values by key: a long key is not one task's sort.
+    """
+    at, own = F.floor(F.col(order) / span), [F.col(order).asc_nulls_last(), F.col(value).asc_nulls_first()]
+    ranges = rows.groupBy(F.col(key).alias("_k"), at.alias("_a")).agg(F.max(F.struct(order, value))[value].alias("_last"))
+    ranges = ranges.withColumn("_before", F.lag("_last").over(Window.partitionBy("_k").orderBy(F.col("_a").asc_nulls_last()))).drop("_last")
+    within = Window.partitionBy(key, "_at").orderBy(*own)
+    out = rows.withColumn("_at", at).withColumn("_n", F.row_number().over(within)).withColumn("_lag", F.lag(value).over(within))
+    out = out.join(ranges, F.col(key).eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_a")), "left")
+    return out.select(*rows.columns, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(name))

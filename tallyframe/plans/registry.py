@@ -193,10 +193,8 @@ def dedupe_context_text(spark, d):
 
 @query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, text FROM conversations")
 def conversation_pairs(spark, d):
-    """Each turn with the one before, by an equality join on the turn's number: a long conversation is not one task's sort."""
     c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    return c.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "context", "text")
+    return data.previous(c, "conv_id", "turn", "text", "context").select("conv_id", "turn", "context", "text")
 
 
 # ---- labels and schema
