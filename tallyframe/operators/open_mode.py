@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 SCALE = 20.0
-#: Prototypes are broadcast up to this many; more are joined by a shuffle of the texts' blocks.
-MAX_BROADCAST = 10_000
+#: Prototypes are broadcast up to this many; more are joined by a shuffle, in blocks of about as many, with groups of texts.
+MAX_BROADCAST, TEXT_GROUPS = 10_000, 16
 
 
 @dataclass(frozen=True)
@@ -37,14 +37,29 @@ def prototypes(vectors: DataFrame, option: str, vector: str) -> DataFrame:
 
 
 def cosines(texts: DataFrame, vector: str, protos: DataFrame) -> DataFrame:
-    """Each text with `cosines`: an array of (cosine, option) in the order of options. The prototypes ride along as one small row, checked for size."""
-    n = protos.limit(MAX_BROADCAST + 1).count()
-    if n > MAX_BROADCAST:
-        raise ValueError(f"more than {MAX_BROADCAST} options; answer them in parts")
+    """Each text with `cosines`: an array of (cosine, option) in the order of options. Up to MAX_BROADCAST prototypes ride along as one small row."""
+    if protos.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
+        return _blocked(texts, vector, protos)
     one = protos.groupBy().agg(F.array_sort(F.collect_list(F.struct("option", "proto"))).alias("protos"))
     unit = texts.withColumn("_unit", S.unit(F.col(vector)))
-    out = unit.join(F.broadcast(one))
-    return out.withColumn("cosines", F.transform("protos", lambda c: F.struct(S.dot(F.col("_unit"), c["proto"]).alias("cosine"), c["option"].alias("option")))).drop("protos", "_unit")
+    return unit.join(F.broadcast(one)).withColumn("cosines", _with_all()).drop("protos", "_unit")
+
+
+def _with_all() -> Column:
+    return F.transform("protos", lambda c: F.struct(S.dot(F.col("_unit"), c["proto"]).alias("cosine"), c["option"].alias("option")))
+
+
+def _blocked(texts: DataFrame, vector: str, protos: DataFrame) -> DataFrame:
+    """cosines() of many prototypes: each group of texts meets each block of prototypes by a shuffle; a second one puts a text's cosines together."""
+    blocks = -(-protos.count() // MAX_BROADCAST)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = protos.groupBy(F.pmod(F.xxhash64("option"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("option", "proto")).alias("protos")).withColumn("_group", all_of(TEXT_GROUPS))
+    unit = texts.select(F.struct("*").alias("_row"), S.unit(F.col(vector)).alias("_unit"), F.monotonically_increasing_id().alias("_id"))
+    unit = unit.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(TEXT_GROUPS)).cast("int")).withColumn("_block", all_of(blocks))
+    met = unit.join(parts.hint("shuffle_hash"), ["_group", "_block"]).select("_id", "_row", _with_all().alias("cosines"))
+    out = met.groupBy("_id").agg(F.first("_row").alias("_row"), F.flatten(F.collect_list("cosines")).alias("c"))
+    in_order = F.array_sort(F.transform("c", lambda x: F.struct(x["option"].alias("option"), x["cosine"].alias("cosine"))))
+    return out.select("_row.*", F.transform(in_order, lambda x: F.struct(x["cosine"].alias("cosine"), x["option"].alias("option"))).alias("cosines"))
 
 
 def choose_in(texts: DataFrame, vector: str, protos: DataFrame, scale: float = SCALE) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from tallyframe.operators import open_mode
 from tallyframe.plans import registry
 
 
@@ -17,3 +20,11 @@ def test_conversation_pairs_with_gaps_and_repeated_turns(spark, tmp_path):
         last[c] = text
     got = [tuple(r) for r in registry.queries()["conversation_pairs"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("name", ["open_nearest", "open_accuracy_by_label", "open_unmatched", "open_score_level"])
+def test_more_prototypes_than_are_broadcast(spark, monkeypatch, name):
+    run = lambda: sorted(map(tuple, registry.queries()[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    expected = run()
+    monkeypatch.setattr(open_mode, "MAX_BROADCAST", 3)
+    assert run() == expected
