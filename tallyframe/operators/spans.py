@@ -59,16 +59,55 @@ def viterbi(logp: np.ndarray, bias: float = 0.0) -> list[int]:
     return tags[::-1]
 
 
+def viterbi_all(logp: np.ndarray, lengths: np.ndarray, bias: float = 0.0) -> np.ndarray:
+    """viterbi() of many sequences, one after another in logp, a step of all of them at a time."""
+    k, out = logp.shape[1], np.zeros(len(logp), np.int32)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[: np.count_nonzero(lengths)]
+    start, long = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    if not len(order):
+        return out
+    score = logp + np.where(np.arange(k) > 0, bias, 0.0)
+    inside = (np.arange(k) > 0) & (np.arange(k) % 2 == 0)
+    bar = np.zeros((k, k))
+    for t in np.flatnonzero(inside):
+        bar[:, t] = -np.inf
+        bar[[t - 1, t], t] = 0
+    active = np.searchsorted(-long, -np.arange(long[0]), "left")  # sequences that have a token i
+    path, back = np.where(inside, -np.inf, score[start]), np.zeros((len(logp), k), np.int16)
+    for i in range(1, int(long[0])):
+        m = active[i]
+        step = path[:m, :, None] + bar
+        back[start[:m] + i] = step.argmax(1)
+        path[:m] = step.max(1) + score[start[:m] + i]
+    tags = path.argmax(1)
+    for i in range(int(long[0]) - 1, -1, -1):
+        m = active[i]
+        out[start[:m] + i] = tags[:m]
+        tags[:m] = back[start[:m] + i, tags[:m]]
+    return out
+
+
 def decode(df: DataFrame, logp: str, bias: float = 0.0) -> DataFrame:
     """df with `tags`; logp is an array of arrays, a row a token. Batches go through Arrow."""
     import pyarrow as pa
 
     at, names = df.columns.index(logp), [*df.columns, "tags"]
 
+    def tagged(rows):
+        inner = rows.flatten()
+        width = inner.value_lengths().unique().to_pylist()
+        if len(width) > 1 or width == [None]:
+            return [None if r is None else viterbi(np.array(r, float).reshape(len(r), -1), bias) if r else [] for r in rows.to_pylist()]
+        lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = viterbi_all(inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1), lengths, bias) if width else np.zeros(0, np.int32)
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=rows.is_null() if rows.null_count else None)
+
     def run(batches):
         for batch in batches:
-            tags = [None if rows is None else viterbi(np.array(rows, float).reshape(len(rows), -1), bias) for rows in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(tags, pa.list_(pa.int32()))], names)
+            tags = tagged(batch.column(at))
+            yield pa.record_batch([*batch.columns, tags if isinstance(tags, pa.Array) else pa.array(tags, pa.list_(pa.int32()))], names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("tags", T.ArrayType(T.IntegerType()))]))
 

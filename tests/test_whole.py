@@ -1,10 +1,12 @@
 """Cases that the generated tables don't have."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
-from tallyframe.operators import open_mode
+from tallyframe.operators import open_mode, spans
 from tallyframe.plans import registry
 
 
@@ -28,3 +30,22 @@ def test_more_prototypes_than_are_broadcast(spark, monkeypatch, name):
     expected = run()
     monkeypatch.setattr(open_mode, "MAX_BROADCAST", 3)
     assert run() == expected
+
+
+def test_viterbi_decode_covers_whole_texts(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = ["", None, "one", " two  words\n"] + [" ".join(rnd.choice(["la", "été", "x1", "of"]) + str(rnd.randrange(999)) for _ in range(n)) for n in (13, 700, 20_000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.tags for r in registry.queries()["viterbi_decode"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        h = np.array([zlib.crc32(w.encode()) % 1000 for w in (t or "").split()], float)
+        z = np.sin(h[:, None] * np.arange(1, 6)) * 3
+        assert got[i] == spans.viterbi(z - np.log(np.exp(z).sum(1, keepdims=True)), 0.5), i
+
+
+def test_viterbi_of_many_is_viterbi_of_each():
+    rnd = np.random.default_rng(2)
+    lengths = rnd.integers(0, 9, 50)
+    logp = np.log(rnd.dirichlet(np.ones(7), lengths.sum())).round(1)
+    ends = np.cumsum(lengths)
+    assert spans.viterbi_all(logp, lengths, 0.3).tolist() == [t for n, e in zip(lengths, ends) for t in spans.viterbi(logp[e - n : e], 0.3)]
