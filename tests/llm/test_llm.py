@@ -129,6 +129,50 @@ def test_ngram_join(spark):
     assert got[2]["class_id"] == 0 and got[8]["class_id"] == 7 and got[4]["class_id"] == 4
 
 
+def near_copies(rnd, groups, each, words=60):
+    """Groups of texts that share a frequent passage; a text differs from its group's first by up to five words."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(words)]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(rnd.randrange(3)):
+                w[rnd.randrange(words)] = f"z{rnd.random()}"
+            out.append(" ".join(w[: words - rnd.randrange(4)]) + " " + passage)
+    return out
+
+
+def brute_links(texts):
+    """For each text the texts linked to it, and the least index it reaches."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").lower().encode())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    near = [[j for j, b in enumerate(sets) if i != j and a and b and 9 * len(a & b) >= 4 * (len(a) + len(b))] for i, a in enumerate(sets)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        todo = [i] if least[i] == i else []
+        while todo:
+            for j in near[todo.pop()]:
+                if least[j] > i:
+                    least[j] = i
+                    todo.append(j)
+    return near, least
+
+
+@pytest.mark.parametrize("small, block", [(128, 512), (8, 16)])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, small, block):
+    """More sets at a node than are compared all with all, so that leaders, descents and several blocks take part."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    texts = near_copies(random.Random(3), 2, 220) + near_copies(random.Random(4), 40, 3, 20)
+    near, least = brute_links(texts)
+    got = by_id(ngram_join.ngram_join(docs(spark, texts)))
+    assert [got[i]["n_links"] for i in range(len(texts))] == list(map(len, near))
+    assert [got[i]["class_id"] for i in range(len(texts))] == least
+
+
 def test_suffix(spark):
     texts = TEXTS + ["q" * 250]
     raw = [(t or "").encode() for t in texts]
@@ -238,3 +282,54 @@ def test_pipeline(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "d/documents.parquet"))
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "d")).collect()}
     assert kept.isdisjoint({0, 3, 4, 5, 7}) and set(range(len(TEXTS), len(texts))) <= kept and 1 in kept and 2 not in kept
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage's whole output, bytes and pieces, from the output of the one before."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    os.makedirs(tmp_path / "d")
+    texts = TEXTS + near_copies(random.Random(8), 3, 8) + near_copies(random.Random(8), 1, 4)
+    rows = [(i, t, "en" if i % 2 else "fr", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d/documents.parquet"))
+    docs_now, have = spark.read.parquet(str(tmp_path / "d/documents.parquet")), {r[0]: r for r in rows}
+    steps = dict(corpus_pipeline.STAGES)
+
+    def take(name):
+        out = corpus_pipeline.table(steps[name](spark, docs_now, str(tmp_path / "d")), f"test-{name}")
+        return out, {r["doc_id"]: tuple(r) for r in out.collect()}
+
+    docs_now, got = take("language_id")
+    assert got == {i: r for i, r in have.items() if i in got} and {i for i in have if i not in got} >= {3, 4, 5}
+    have = got
+    docs_now, got = take("exact_dedup")
+    last = {r[1]: i for i, r in sorted(have.items())}
+    assert got == {i: r for i, r in have.items() if last[r[1]] == i} and len(got) < len(have)
+    have = got
+    docs_now, got = take("near_dedup")
+    ids = sorted(have)
+    least = brute_links([have[i][1] for i in ids])[1]
+    assert got == {i: have[i] for k, i in enumerate(ids) if least[k] == k} and len(got) < len(have)
+    have = got
+    docs_now, got = take("passages")
+    raw = {i: r[1].encode() for i, r in have.items()}
+    seen = collections.Counter(t[s : s + 200] for t in raw.values() for s in range(len(t) - 199))
+    expected = {}
+    for i, t in raw.items():
+        gone = {k for s in range(len(t) - 199) if seen[t[s : s + 200]] > 1 for k in range(s, s + 200)}
+        text = bytes(b for k, b in enumerate(t) if k not in gone).decode()
+        expected[i] = (i, text, *have[i][2:4], len(text))
+    assert got == expected and any(expected[i][1] != have[i][1] for i in have)
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path / "d")).collect():
+        pieces[r["doc_id"]].append(r)
+    tok = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
+    assert set(pieces) == set(expected)
+    for i, own in pieces.items():
+        ids, at = [*tok.encode(expected[i][1], add_special_tokens=False).ids, 0], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
