@@ -20,11 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Shuffle files of a query go when it ends; a batch that goes to Python has so many bytes at most.
+FREE, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the memory of Python workers and of what goes to them, where the session sets no bound of its own."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, size)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out

@@ -1,238 +1,323 @@
 """Suffix dedup by a depth-limited radix sort.
 
 Two suffixes share a window of LENGTH bytes if they agree through LENGTH bytes; deeper they
-need no order. Most-significant-digit passes split the suffixes by ever longer digits, and a
-suffix alone in its group leaves. Suffixes are taken in bundles: a bundle is the starts of
-all windows that hold one anchor, a GRAM-byte string chosen by content (the least hash of
-each window), so that equal windows have equal anchors in equal places.
-
-  pass 1  the digit is the anchor: bundles whose anchor occurs once leave. Bundles that
-          agree in all their bytes are repeated as a whole and done.
-          Of the rest, each half of a bundle has the anchor and HALF bytes on one side as
-          digit. Alone: leaves.
-  pass 2  what is left is cut into STEPS sub-bundles; the digit is the bytes that all windows
-          of a sub-bundle share. Alone: leaves. Equal in all bytes: done.
-  pass 3  single suffixes; the digit is the whole window. Groups of two places or more are
-          exactly the repeated windows.
-
-Each pass counts by key with partial sums and joins the counts back, so no group, however
-often its string occurs, meets in one task. Keys are 64-bit hashes that only sort; a pass's
-last word is a second key of the whole bytes beside the first.
+need no order. Passes by ever longer digits split the suffixes, and a suffix alone in its
+group leaves. Suffixes are taken in bundles: each window belongs to one of its GRAM-byte
+strings, chosen by content (the least hash, of equal ones the last), and a bundle is the
+run of windows that chose one place. Equal windows choose equal strings in equal places, so
+they meet in the pass over that digit.
+
+  distinct texts  equal texts are one; a text that occurs more than once is repeated as a whole.
+  digit 1         the chosen string (GRAM bytes). Bundles alone with theirs leave. Bundles
+                  with all bytes equal (by a 128-bit BLAKE2b digest) are repeated as a whole
+                  and go on as one.
+  group           of GROUP bundles at most: sorted in one task, first by what STEP
+                  neighbouring windows share, then by window. Equal hashes count only if the
+                  bytes are equal.
+  digit 2         larger groups are cut into runs of STEP windows, whose digit is the
+                  LENGTH - STEP + 1 bytes that the run's windows share; groups of GROUP at
+                  most are sorted as above.
+  digit 3         of groups still larger, single windows are counted under their own bytes.
+
+So no group, however often its string occurs, meets in one task: counts are partial sums,
+and what is joined back to them splits under adaptive execution.
 
 Cases: null texts are empty; texts shorter than LENGTH bytes are left alone; matches never
 cross texts; equal texts count as two places. Ids may repeat or be null. Other columns are
-ignored, and an empty table gives an empty result.
+carried along, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _vec as V
-from ._shared import drop_table, table
+from ._shared import drop_table, small_batches, table
 
 LENGTH, GRAM = 200, 32
-#: Grams of a window; sub-bundles of a bundle; suffixes of a sub-bundle.
-SPREAD = LENGTH - GRAM + 1
-STEP = 13
-STEPS = SPREAD // STEP
-#: Windows that start HALF bytes or more before the anchor hold the HALF bytes before it, the others as many after it.
-HALF = SPREAD // 2
-
-
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, first and last start of the windows that hold it, and row, of each anchor."""
-    n = np.diff(off)
-    none = np.zeros(0, np.int64)
-    if not (n >= LENGTH).any():
-        return none, none, none, none
-    sums = V.prefix(V.TABLES[1][data])
-    at = np.arange(len(data) - GRAM + 1)
-    key = V.span_hash(sums, at, at + GRAM)
-    bits = V.U64(max(1, len(data).bit_length()))
-    key = (key >> bits << bits) | (V.U64((1 << int(bits)) - 1) - at.astype(V.U64))  # of equal grams the last
-    m = len(key) - SPREAD + 1
-    pad = -len(key) % SPREAD
-    cut = np.concatenate([key, np.full(pad, 2**64 - 1, V.U64)]).reshape(-1, SPREAD)
-    head = np.minimum.accumulate(cut, 1).ravel()
-    tail = np.minimum.accumulate(cut[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(tail[:m], head[SPREAD - 1 : SPREAD - 1 + m])
+#: Grams of a window; neighbouring windows in a run; bundles of a group that one task sorts.
+SPREAD, STEP, GROUP = LENGTH - GRAM + 1, 13, 2048
+_MULTIPLY = V.mix(np.arange(11, 15, dtype=V.U64)) | V.U64(1)
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place; it selects and deals, and is never taken for equality."""
+    n = len(data) - GRAM + 1
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
+    total = words[:n] * _MULTIPLY[0]
+    for i in range(1, 4):
+        total += words[8 * i : 8 * i + n] * _MULTIPLY[i]
+    return V.mix(total)
+
+
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each bundle: its string's hash and place, first and last start of its windows, and row."""
+    long = np.diff(off) >= LENGTH
+    if not long.any():
+        return (np.zeros(0, V.U64), *[np.zeros(0, np.int64)] * 4)
+    g = gram_hashes(data)
+    at = np.arange(len(g), dtype=V.U64)
+    least = (g >> V.U64(32) << V.U64(32)) | (V.U64(0xFFFFFFFF) - at)  # of equal grams the last; a column of text is shorter than 2^32
+    width = 1
+    while 2 * width <= SPREAD:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: len(least) - (SPREAD - width)], least[SPREAD - width :])
     fits = np.zeros(len(data) + 1, np.int64)
-    long = n >= LENGTH
     fits[off[:-1][long]] += 1
     np.subtract.at(fits, off[1:][long] - LENGTH + 1, 1)
-    least = least[np.cumsum(fits)[:m] > 0]
-    place = ((1 << int(bits)) - 1 - (least & V.U64((1 << int(bits)) - 1)).astype(np.int64))
-    place = place[np.append(True, place[1:] != place[:-1])]
-    row = np.searchsorted(off, place, "right") - 1
-    return place, np.maximum(off[row], place - SPREAD + 1), np.minimum(place, off[row + 1] - LENGTH), row
+    start = np.flatnonzero(np.cumsum(fits)[: len(least)] > 0)
+    place = 0xFFFFFFFF - (least[start] & V.U64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    place, lo, hi = place[new], start[new], start[np.append(new[1:], len(start)) - 1]
+    return g[place], place, lo, hi, np.searchsorted(off, place, "right") - 1
 
 
-def bundles(docs: DataFrame) -> DataFrame:
-    """docs (u, text) -> (g, c, l, r, u, a, lo, hi): keys of the anchor, of all bytes of its bundle and of its halves (null where no window has them), the text, and places."""
+def bundles(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> (g, c, id, shift, lo, hi): the chosen string's hash, digest of all bytes, how far the string is behind the first window, first and last start."""
 
     def run(batches):
         for batch in batches:
             u = batch.column(0).to_numpy()
             for first, _, data, off in V.chunks(batch.column(1)):
-                place, lo, hi, row = anchors(data, off)
-                if not len(place):
+                g, place, lo, hi, row = anchors(data, off)
+                if not len(g):
                     continue
-                g = V.span_hash(V.prefix(V.TABLES[1][data]), place, place + GRAM)
-                c = V.span_hash(V.prefix(V.TABLES[0][data]), lo, hi + LENGTH)
-                base, sums = off[row], V.prefix(V.TABLES[0][data])
-                left, right = place - lo < HALF, place - hi > HALF
-                l = V.span_hash(sums, np.maximum(place - HALF, 0), place + GRAM)
-                r = V.span_hash(sums, place, np.minimum(place + GRAM + HALF, len(data)))
-                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(l.view(np.int64), mask=left), pa.array(r.view(np.int64), mask=right), pa.array(u[first + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, lo, hi))], ["g", "c", "l", "r", "u", "a", "lo", "hi"])
+                raw = memoryview(np.ascontiguousarray(data))
+                c = [hashlib.blake2b(raw[a : b + LENGTH], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())]
+                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(c, pa.binary()), pa.array(u[first + row]), *(pa.array(x.astype(np.int32)) for x in (place - lo, lo - off[row], hi - off[row]))], ["g", "c", "id", "shift", "lo", "hi"])
 
-    return docs.mapInArrow(run, "g bigint, c bigint, l bigint, r bigint, u bigint, a int, lo int, hi int")
+    return texts.select("id", "text").mapInArrow(run, "g bigint, c binary, id bigint, shift int, lo int, hi int")
 
 
 def contexts(batches):
-    """Rows (u, text, bundles) -> the bytes of each bundle."""
+    """Rows (text, bundles) -> (digit, k, c, base, shift, bytes), a row a bundle."""
     for batch in batches:
-        data, off = V.strings(batch.column(1))
-        raw = memoryview(data)
-        out = []
-        for u, at, list_ in zip(batch.column(0).to_pylist(), off[:-1].tolist(), batch.column(2).to_pylist()):
-            out += [(u, b["a"], b["lo"], b["hi"], bytes(raw[at + b["lo"] : at + b["hi"] + LENGTH])) for b in list_]
-        for k in range(0, len(out), 8192):
-            cols = list(zip(*out[k : k + 8192]))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], ["u", "a", "lo", "hi", "bytes"])
+        data, off = V.strings(batch.column(0))
+        raw, lists = memoryview(np.ascontiguousarray(data)), batch.column(1)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(off) - 1), np.diff(lists.offsets.to_numpy()))
+        lo, hi = (off[row] + flat.field(name).to_numpy() for name in ("lo", "hi"))
+        for k in range(0, len(row), 8192):
+            part = slice(k, k + 8192)
+            bytes_ = pa.array([bytes(raw[a : b + LENGTH]) for a, b in zip(lo[part].tolist(), hi[part].tolist())], pa.binary())
+            g, k_, c, shift = (flat.field(name).slice(k, 8192) for name in ("g", "k", "c", "shift"))
+            yield pa.record_batch([g, k_, c, pa.array(np.zeros(len(bytes_), np.int32)), shift, bytes_], ["digit", "k", "c", "base", "shift", "bytes"])
+
+
+def _runs(off: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of STEP windows, counted from the chosen string: row, latest start that the run can have, first and last start it has, all as places in the data."""
+    last = np.diff(off) - LENGTH
+    low_r, high_r = (shift - last) // STEP, shift // STEP
+    many = high_r - low_r + 1
+    row = np.repeat(np.arange(len(shift)), many)
+    r = low_r[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    top = shift[row] - r * STEP
+    low, high = np.maximum(0, top - STEP + 1), np.minimum(last[row], top)
+    return row, off[row] + top, off[row] + low, off[row] + high
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """All strings of LENGTH bytes as rows of 64-bit numbers, without a copy."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((len(data) - LENGTH + 1, LENGTH // 8), "<u8", data, strides=(1, 8))
+
+
+def _same(views: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 16384):
+        out[k : k + 16384] = (views[a[k : k + 16384]] == views[b[k : k + 16384]]).all(1)
+    return out
 
 
-def sub_bundles(batches):
-    """Contexts -> (core, whole, u, q): keys of what all windows of a sub-bundle share and of all its bytes, and its place: a, number, and how far its first and last start are from the latest."""
+def _first_of_run(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key, and for each place of it the place where its run of equal keys begins and how long that run is."""
+    order = np.argsort(key, kind="stable")
+    if not len(key):
+        return order, order, order
+    begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    size = np.diff(np.append(begin, len(key)))
+    return order, np.repeat(begin, size), np.repeat(size, size)
+
+
+def repeated_windows(data: np.ndarray, off: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """For each byte of `data` whether a window starts there that starts elsewhere too. data: distinct bundles one after another."""
+    mark = np.zeros(len(data), bool)
+    if not len(off) or len(data) < LENGTH:
+        return mark
+    views, sums = _padded(data), V.prefix(V.TABLES[0][data])
+    row, top, low, high = _runs(off, shift)
+    core = V.span_hash(sums, top, top + LENGTH - STEP + 1)
+    order, _, size = _first_of_run(core)
+    alive = np.sort(order[size > 1])
+    core, low, high = core[alive], low[alive], high[alive]
+    # runs of windows that are equal as a whole: the first stands for the others, which are done
+    order, begin, _ = _first_of_run(V.span_hash(sums, low, high + LENGTH))
+    first = order[begin]
+    equal = (order != first) & (high[order] - low[order] == high[first] - low[first])
+    some = np.flatnonzero(equal)
+    equal[some] = _same(views, low[order[some]], low[first[some]]) & _same(views, high[order[some]], high[first[some]])
+    done = np.zeros(len(low), bool)
+    done[order[equal]] = done[first[equal]] = True
+    stands = np.ones(len(low), bool)
+    stands[order[equal]] = False
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, low[done], 1)
+    np.subtract.at(edge, high[done] + 1, 1)
+    mark |= np.cumsum(edge)[:-1] > 0
+    core, low, high = core[stands], low[stands], high[stands]
+    order, _, size = _first_of_run(core)
+    left = order[size > 1]
+    many = high[left] - low[left] + 1
+    at = np.repeat(low[left] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    order, begin, size = _first_of_run(V.span_hash(sums, at, at + LENGTH))
+    order, first = at[order[size > 1]], at[order[begin[size > 1]]]
+    other = np.flatnonzero(order != first)
+    equal = _same(views, order[other], first[other])
+    mark[order[other][equal]] = mark[first[other][equal]] = True
+    if not equal.all():  # different bytes under one hash: by the bytes themselves
+        groups: dict[bytes, set[int]] = {}
+        odd = set(first[other][~equal].tolist())
+        for x, y in zip(order.tolist(), first.tolist()):
+            if y in odd:
+                groups.setdefault(data[x : x + LENGTH].tobytes(), set()).add(x)
+        for same in groups.values():
+            if len(same) > 1:
+                mark[list(same)] = True
+    return mark
+
+
+def _whole_groups(batches, size: int = 2 * GROUP):
+    """Tables of about `size` rows or more of a stream sorted by its first column, no group cut."""
+    held, n = [], 0
     for batch in batches:
-        if not batch.num_rows:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < size:
             continue
-        data, off = V.strings(batch.column(4))
-        sums = V.prefix(V.TABLES[0][data])
-        a, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
-        shift = off[:-1] - lo
-        row = np.repeat(np.arange(len(a)), STEPS)
-        r = np.tile(np.arange(STEPS), len(a))
-        top = a[row] - r * STEP
-        low, high = np.maximum(lo[row], top - STEP + 1), np.minimum(hi[row], top)
-        some = low <= high
-        row, r, top, low, high = row[some], r[some], top[some], low[some], high[some]
-        core = V.span_hash(sums, top + shift[row], top - STEP + 1 + LENGTH + shift[row])
-        whole = V.span_hash(sums, low + shift[row], high + LENGTH + shift[row])
-        u = batch.column(0).to_numpy()[row]
-        q = (a[row] << 12) | (r << 8) | ((top - low) << 4) | (top - high)
-        yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in (core, whole)), pa.array(u), pa.array(q)], ["core", "whole", "u", "q"])
-
-
-def suffixes(batches):
-    """Rows (u, a, lo, hi, bytes, parts): the sub-bundles (lo, hi) still open -> single windows (w, w2, u, s, p)."""
+        both = pa.Table.from_batches(held).combine_chunks()
+        digit = both.column(0).to_numpy()
+        cut = int(np.searchsorted(digit, digit[-1]))
+        if cut:
+            yield both.slice(0, cut).combine_chunks()
+            held = both.slice(cut).combine_chunks().to_batches()
+            n -= cut
+        else:
+            held = both.to_batches()
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sort_groups(batches):
+    """Rows (digit, c, base, shift, bytes), sorted by digit -> (c, lo, hi): runs of repeated windows, as starts in c."""
+    for t in _whole_groups(batches):
+        data, off = V.strings(t.column("bytes"))
+        mark = repeated_windows(data, off, t.column("shift").to_numpy().astype(np.int64))
+        lo, end = V.runs(mark, off)
+        if len(lo):
+            row = np.searchsorted(off, lo, "right") - 1
+            by = t.column("base").to_numpy()[row] - off[row]
+            yield pa.record_batch([t.column("c").combine_chunks().take(pa.array(row)), pa.array((lo + by).astype(np.int32)), pa.array((end - 1 + by).astype(np.int32))], ["c", "lo", "hi"])
+
+
+def cut_runs(batches):
+    """Rows (c, base, shift, bytes) -> the same of their runs of STEP windows, with the digit that a run's windows share."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, off = V.strings(batch.column(4))
-        sums = [V.prefix(t[data]) for t in V.TABLES]
-        u, lo = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-        parts = batch.column(5)
-        row = np.repeat(np.arange(len(u)), np.diff(parts.offsets.to_numpy()))
-        flat = parts.flatten()
-        first, last = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-        size = last - first + 1
-        each = np.repeat(np.arange(len(row)), size)
-        s = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        row = row[each]
-        at = s + off[:-1][row] - lo[row]
-        w = [V.span_hash(x, at, at + LENGTH) for x in sums]
-        p = V.mix(u[row].view(V.U64) ^ V.mix(s.astype(V.U64)))
-        yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in w), pa.array(u[row]), pa.array(s.astype(np.int32)), pa.array(p.view(np.int64))], ["w", "w2", "u", "s", "p"])
-
-
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    """table(), after which the shuffle files of what led to it can go."""
-    out = table(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+        data, off = V.strings(batch.column(3))
+        row, top, low, high = _runs(off, batch.column(2).to_numpy().astype(np.int64))
+        digit = V.span_hash(V.prefix(V.TABLES[1][data]), top, top + LENGTH - STEP + 1)
+        raw = memoryview(np.ascontiguousarray(data))
+        piece = pa.array([bytes(raw[a : b + LENGTH]) for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+        base = batch.column(1).to_numpy()[row] + (low - off[row])
+        yield pa.record_batch([pa.array(digit.view(np.int64)), batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (base, top - low)), piece], ["digit", "c", "base", "shift", "bytes"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """docs (u, d, text) -> (u, spans): for each text the starts of its repeated windows, as an array of (lo, hi), both included."""
-    made = _settled(bundles(docs.select("u", "text")), "bundles")
+def cut_windows(batches):
+    """Rows (c, base, bytes) -> single windows (w, c, s)."""
+    for batch in batches:
+        out = []
+        for c, base, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out += [(raw[s : s + LENGTH], c, base + s) for s in range(len(raw) - LENGTH + 1)]
+        if out:
+            w, c, s = zip(*out)
+            yield pa.record_batch([pa.array(w, pa.binary()), pa.array(c, pa.binary()), pa.array(s, pa.int32())], ["w", "c", "s"])
+
+
+_PIECE, _FOUND = "digit bigint, c binary, base int, shift int, bytes binary", "c binary, lo int, hi int"
+
+
+def _sorted(pieces: DataFrame) -> DataFrame:
+    one = pieces.select("digit", "c", "base", "shift", "bytes").repartition("digit").sortWithinPartitions("digit")
+    return one.mapInArrow(sort_groups, _FOUND)
+
+
+def repeated(texts: DataFrame) -> DataFrame:
+    """texts (id, text), distinct -> (id, spans): the starts of each text's repeated windows, as runs (lo, hi), both included."""
+    made = table(bundles(texts), "bundles")
     often = made.groupBy("g").count().where("count > 1").select("g")
-    kept = _settled(made.join(often, "g"), "bundles")
+    kept = table(made.join(often, "g"), "bundles")
     drop_table(made)
-    # p separates two places of one text; equal texts are two places at once, so rows count
-    by_c = kept.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.xxhash64("u", "a")).alias("p"))
-    by_g = by_c.groupBy("g").agg(F.count("*").alias("k"))
-    state = by_c.join(by_g, "g").select("g", "c", "m", "k", "p")
-    told = _settled(kept.join(state, ["g", "c"]).where("m > 1 OR k > 1").drop("g", "c"), "bundles")
-    drop_table(kept)
-    done = told.where("m > 1").groupBy("u", "a").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")).select("u", "lo", "hi")
-    done = _settled(done, "done")
-    left = told.where((F.col("k") > 1) & (F.xxhash64("u", "a") == F.col("p"))).select("u", "a", "lo", "hi", "l", "r", "p").distinct()
-    early, late = F.greatest(F.col("a") - F.lit(HALF), F.col("lo")), F.least(F.col("a") - F.lit(HALF), F.col("hi"))
-    for half, first, last in (("l", F.col("lo"), late), ("r", early, F.col("hi"))):
-        one_half = left.where(f"{half} IS NOT NULL").select(half, "p", "u", "a", first.alias("lo"), last.alias("hi")).where("lo <= hi")
-        often = one_half.groupBy(half).agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select(half)
-        alive = one_half.join(often, half).select("u", "a", "lo", "hi")
-        halves = alive if half == "l" else halves.unionByName(alive)
-    halves = halves.groupBy("u", "a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    halves = halves.groupBy("u").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("bundles"))
-    one = docs.groupBy("u").agg(F.min("d").alias("d")).join(halves, "u")
-    texts = docs.select("u", "d", "text").join(one.select(F.col("u").alias("u2"), F.col("d").alias("d2"), "bundles"), (F.col("u") == F.col("u2")) & F.col("d").eqNullSafe(F.col("d2")))
-    held = texts.select("u", "text", "bundles").mapInArrow(contexts, "u bigint, a int, lo int, hi int, bytes binary")
-    held = _settled(held, "contexts")
-    drop_table(told)
-    parts = held.mapInArrow(sub_bundles, "core bigint, whole bigint, u bigint, q bigint")
-    latest = F.expr(f"(q >> 12) - ((q >> 8) & 15) * {STEP}")
-    place = F.xxhash64("u", latest)
-    often = parts.groupBy("core").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("core")
-    some = _settled(parts.join(often, "core"), "parts")
-    by_whole = some.groupBy("core", "whole").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
-    by_core = by_whole.groupBy("core").agg(F.count("*").alias("k"))
-    parts = some.join(by_whole.join(by_core, "core"), ["core", "whole"])
-    span = [F.expr("cast(q >> 12 as int)").alias("a"), (latest - F.expr("(q >> 4) & 15")).cast("int").alias("lo"), (latest - F.expr("q & 15")).cast("int").alias("hi")]
-    parts = _settled(parts.select("u", *span, (F.col("p0") != F.col("p1")).alias("done"), ((F.col("k") > 1) & (place == F.col("p0"))).alias("open")), "parts")
-    drop_table(some)
-    whole = done.unionByName(parts.where("done").select("u", "lo", "hi"))
-    open_ = parts.where("open").groupBy("u", "a").agg(F.collect_set(F.struct(F.col("lo").alias("l"), F.col("hi").alias("h"))).alias("parts"))
-    single = held.dropDuplicates(["u", "a"]).join(open_, ["u", "a"]).select("u", "a", "lo", "hi", "bytes", "parts").mapInArrow(suffixes, "w bigint, w2 bigint, u bigint, s int, p bigint")
-    single = _settled(single, "suffixes")
+    each = table(kept.groupBy("g", "c").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "shift", "lo", "hi"), F.struct("id", "lo")).alias("at")), "contexts")
+    found = [each.where("m > 1").select("c", F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))]
+    size = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    lists = each.join(size, "g").groupBy("at.id").agg(F.collect_list(F.struct("g", "k", "c", "at.shift", "at.lo", "at.hi")).alias("bundles"))
+    held = table(texts.join(lists, "id").select("text", "bundles").mapInArrow(contexts, "digit bigint, k bigint, c binary, base int, shift int, bytes binary"), "contexts")
+    found.append(table(_sorted(held.where(F.col("k") <= GROUP)), "found"))
+    runs = table(held.where(F.col("k") > GROUP).select("c", "base", "shift", "bytes").mapInArrow(cut_runs, _PIECE), "runs")
     drop_table(held)
-    often = single.groupBy("w", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w", "w2")
-    found = single.join(often, ["w", "w2"]).select("u", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    out = _settled(whole.unionByName(found).distinct().groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    for gone in (done, parts, single):
+    size = runs.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1")
+    sized = table(runs.join(size, "digit"), "runs")
+    drop_table(runs)
+    found.append(table(_sorted(sized.where(F.col("k") <= GROUP)), "found"))
+    single = table(sized.where(F.col("k") > GROUP).select("c", "base", "bytes").mapInArrow(cut_windows, "w binary, c binary, s int"), "windows")
+    drop_table(sized)
+    often = single.groupBy("w").count().where("count > 1").select("w")
+    found.append(single.join(often, "w").select("c", F.col("s").alias("lo"), F.col("s").alias("hi")))
+    all_found = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    by_c = all_found.groupBy("c").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    spans = kept.join(by_c, "c").select("id", F.expr("transform(found, x -> struct(lo + x.lo AS lo, lo + x.hi AS hi))").alias("spans"))
+    out = table(spans.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    for gone in (kept, each, found[1], found[2], single):
         drop_table(gone)
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """All rows of docs as `row`, with kept_text, n_bytes, n_removed, n_spans and kept_sha256.
+def remove_repeats(docs: DataFrame, text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of docs but the text as `row`, with kept_text, n_bytes, n_removed, n_spans and kept_sha256.
 
     kept_text is binary, as a cut may fall within a character; as_text makes it a string without such parts.
 
     Every byte that a repeated window covers goes, at each of its places.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text, F.octet_length(text)).alias("u"), text.alias("text"))
-    spans = repeated(rows.select("u", F.col(f"row.`{id_col}`").alias("d"), "text"))
-    kept_row = rows.schema["row"].dataType
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select((F.struct(*others) if others else F.struct(F.lit(None).alias("none"))).alias("row"), F.unhex(F.sha2(F.encode(text, "utf-8"), 256)).alias("u"))
+    texts = docs.select(text.alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
+    texts = table(texts.select(F.monotonically_increasing_id().alias("id"), "text", "copies"), "texts")
+    spans = repeated(texts.where(F.octet_length("text") >= LENGTH))
 
     def cut(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = [[], [], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            out = [[], [], [], [], [], []]
+            for text, copies, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                whole = text.encode("utf-8")
+                raw = np.frombuffer(whole, np.uint8)
                 keep, n_spans = raw, 0
-                if found:
+                if copies > 1 and len(raw) >= LENGTH:
+                    keep, n_spans = raw[:0], 1
+                elif found:
                     edge = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(edge, [s["lo"] for s in found], 1)
                     np.subtract.at(edge, [s["hi"] + LENGTH for s in found], 1)
@@ -240,14 +325,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     keep = raw[~gone]
                 kept = keep.tobytes()
-                for to, x in zip(out, (kept, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())):
+                for to, x in zip(out, (hashlib.sha256(whole).digest(), kept, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())):
                     to.append(x)
-            yield pa.record_batch([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in out[0]], pa.string()) if as_text else pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4])], ["row", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    from pyspark.sql import types as T
+            yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in out[1]], pa.string()) if as_text else pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.string())], names)
 
-    kind = T.StructType([T.StructField("row", kept_row), T.StructField("kept_text", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
-    return rows.join(spans, "u", "left").select("row", "text", "spans").mapInArrow(cut, kind)
+    kind = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("kept_text", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    names = kind.names
+    done = texts.join(spans, "id", "left").select("text", "copies", "spans").mapInArrow(cut, kind)
+    return rows.join(done, "u").drop("u")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
