@@ -8,6 +8,7 @@ with letters beyond U+024F or rare white space go through the pattern itself.
 from __future__ import annotations
 
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 
@@ -73,9 +74,41 @@ def split(data: np.ndarray, off: np.ndarray, pattern) -> tuple[np.ndarray, np.nd
     return at, np.append(at[1:], n), np.searchsorted(at, off)
 
 
-def keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 64-bit keys of the pieces, one place of each, and for each piece the number of its key."""
-    return np.unique(V.span_hash(V.prefix(V.TABLES[0][data]), start, end), return_index=True, return_inverse=True)
+class Codes(NamedTuple):
+    """Of pieces: a hash that finds them, their first 16 bytes (zeros after the end) and their size."""
+
+    key: np.ndarray
+    head: np.ndarray
+    next: np.ndarray
+    size: np.ndarray
+
+
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], V.U64)
+
+
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Codes:
+    size = end - start
+    wide = np.zeros(len(data) + 16, np.uint8)
+    wide[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), "<u8", wide, strides=(1,))
+    head = eight[start] & _MASK[np.minimum(size, 8)]
+    next_ = eight[start + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    key = V.mix(V.mix(head + size.astype(V.U64) * V.U64(0xD6E8FEB86659FD93)) ^ next_)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        key[long] ^= V.span_hash(V.prefix(V.TABLES[0][data]), start[long], end[long])
+    return Codes(key, head, next_, size)
+
+
+def same(a: Codes, i: np.ndarray, a_data: np.ndarray, a_start: np.ndarray, b: Codes, j: np.ndarray, b_data: np.ndarray, b_start: np.ndarray) -> np.ndarray:
+    """Whether pieces i of a and j of b have the same bytes; the data need to hold only those of pieces of more than 16."""
+    equal = (a.size[i] == b.size[j]) & (a.head[i] == b.head[j]) & (a.next[i] == b.next[j])
+    long = np.flatnonzero(equal & (a.size[i] > 16))
+    if len(long):
+        size = a.size[i[long]]
+        unlike = a_data[ragged(a_start[i[long]], size)] != b_data[ragged(b_start[j[long]], size)]
+        equal[long] = np.add.reduceat(unlike, np.cumsum(size) - size) == 0
+    return equal
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

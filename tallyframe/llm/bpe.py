@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 
 from . import _pretok as P
 from . import _vec as V
+from ._shared import small_batches
 from .packing import Coder
 
 LONG = 48
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -146,7 +149,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class RankCoder(Coder):
     """Coder whose pieces are merged by ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 32 << 20):
         import public_tokenizers
         import regex
 
@@ -188,8 +191,7 @@ class RankCoder(Coder):
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
         return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def add(self, keys: np.ndarray, words: list[str]) -> None:
-        words = [w.encode() for w in words]
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         long = [i for i, w in enumerate(words) if len(w) > LONG]
         flat, size = self.fold([b"" if len(w) > LONG else w for w in words])
         if long:
@@ -197,7 +199,7 @@ class RankCoder(Coder):
             for i in long:
                 parts[i] = np.array(merge_long(words[i], self.ranks), np.int64)
             flat, size = np.concatenate(parts), np.array([len(x) for x in parts])
-        self.put(keys, flat.astype(np.uint32), size)
+        return flat, size
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens, one after another."""
@@ -224,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             _CODERS[path] = RankCoder(load_ranks(path))
         coder = _CODERS[path]
         for batch in batches:
-            for lo, hi, data, off in V.chunks(batch.column(1), 2 << 20):
+            for lo, hi, data, off in V.chunks(batch.column(1), 1 << 20):
                 ids, border = coder.encode(data, off, None)
                 ids = ids.astype(np.int64)
                 text, back = _gather(coder.numbers, ids), coder.decode(ids)
@@ -237,6 +239,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     out += [pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array([bytes(back[a:b]) for a, b in zip(in_back[:-1], in_back[1:])], pa.binary())]
                 yield pa.record_batch(out, names)
 
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)

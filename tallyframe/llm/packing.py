@@ -13,7 +13,6 @@ each. An empty table gives an empty result. Columns beside id and text are ignor
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 
@@ -24,34 +23,21 @@ from pyspark.sql import functions as F
 
 from . import _pretok as P
 from . import _vec as V
-from ._shared import table
+from ._pretok import ragged
+from ._shared import small_batches, table
 
 SIZE = 1024
 
 
-def ranks_of(tokenizer) -> dict[bytes, int] | None:
-    """The vocabulary of a byte-level BPE tokenizer as ranks by bytes, if its ids are in the order of its merges."""
-    model = json.loads(tokenizer.to_str())["model"]
-    vocab = model.get("vocab", {})
-    if model.get("type") != "BPE" or not isinstance(vocab, dict):
-        return None
-    merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
-    if None in merged or merged != sorted(merged):
-        return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {bytes(of[c] for c in word): i for word, i in vocab.items() if all(c in of for c in word)}
-
-
 class Coder:
-    """Token ids of pieces, kept for pieces seen before; a worker has one. limit: pieces kept at most before it starts anew.
+    """Token ids of pieces, kept for pieces seen before; a worker has one. limit: bytes kept at most before it starts anew.
 
-    The ids are those of `tokenizers`. Where its vocabulary can be read as ranks, a piece is
-    merged by ranks, which gives the same ids several times faster; the first pieces are
-    encoded both ways, and `tokenizers` alone is used if they ever differ.
+    The ids are those of `tokenizers`, piece by piece. Pieces are looked up by a 64-bit hash
+    and taken for equal only if their bytes are; a piece whose bytes differ from those
+    behind its hash is encoded by itself.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -60,64 +46,83 @@ class Coder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.core = None
-        if ranks := ranks_of(self.tokenizer):
-            import tiktoken
-
-            self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.checked = False
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at = np.zeros(0, V.U64), np.zeros(0, np.int64)  # at: number of the entry
+        self.code = P.codes(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2)
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(0, np.int64)
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [self.core(w.encode()) for w in words] if self.core else []
-        if not self.core or not self.checked:
-            exact = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            if self.core and exact != ids:
-                self.core = None
-            ids, self.checked = exact, len(exact) > 1000
+    def kept_bytes(self) -> int:
+        return 64 * len(self.keys) + 4 * len(self.flat) + len(self.text)
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.put(keys, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum())), size)
+        return np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum())), size
 
-    def put(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+    def _append(self, words: list[bytes]) -> np.ndarray:
+        flat, size = self.ids_of(words)
         new = len(self.start) + np.arange(len(size))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        return new
+
+    def entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece's entry."""
+        if self.kept_bytes() > self.limit:
+            self.clear()
+        raw, code = bytes(data), P.codes(data, start, end)
+        keys, one, number = np.unique(code.key, return_index=True, return_inverse=True)
+        odd = ~P.same(code, np.arange(len(start)), data, start, code, one[number], data, start)
         to = np.searchsorted(self.keys, keys)
-        self.keys, self.at = np.insert(self.keys, to, keys), np.insert(self.at, to, new)
+        has = np.zeros(len(keys), bool)
+        inside = to < len(self.keys)
+        has[inside] = self.keys[to[inside]] == keys[inside]
+        if has.any():
+            known = self.at[to[has]]
+            other = ~P.same(code, one[has], data, start, self.code, known, self.text, self.text_at)
+            if other.any():
+                bad = np.zeros(len(keys), bool)
+                bad[np.flatnonzero(has)[other]] = True
+                odd |= bad[number]
+        if not has.all():
+            fresh = one[~has]
+            entry = self._append([raw[a:b] for a, b in zip(start[fresh].tolist(), end[fresh].tolist())])
+            size = np.where(end[fresh] - start[fresh] > 16, end[fresh] - start[fresh], 0)
+            # an entry's code and text stand at its number, also where words encoded by themselves came between
+            gap = np.zeros(int(entry[0]) - len(self.text_at), np.int64)
+            self.text_at = np.concatenate([self.text_at, gap, len(self.text) + np.cumsum(size) - size])
+            self.text = np.concatenate([self.text, data[ragged(start[fresh], size)]])
+            self.code = P.Codes(*(np.concatenate([kept, gap.astype(kept.dtype), new[fresh]]) for kept, new in zip(self.code, code)))
+            self.keys, self.at = np.insert(self.keys, to[~has], keys[~has]), np.insert(self.at, to[~has], entry)
+            to = np.searchsorted(self.keys, keys)
+        out = self.at[to][number]
+        if odd.any():
+            mine = {raw[a:b]: 0 for a, b in zip(start[odd].tolist(), end[odd].tolist())}
+            mine = dict(zip(mine, self._append(list(mine)).tolist()))
+            out[odd] = [mine[raw[a:b]] for a, b in zip(start[odd].tolist(), end[odd].tolist())]
+        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray, close: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row with `close` (if any) after it, and the rows' borders in them."""
         raw = bytes(data)
         if any(s in raw for s in self.special):  # their strings are tokens of their own
-            rows = [np.array([*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, close], np.uint32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            rows = [np.array([*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, *([] if close is None else [close])], np.uint32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         start, end, first = P.split(data, off, self.pattern)
-        entry = np.zeros(0, np.int64)
-        if len(start):
-            if len(self.keys) > self.limit:
-                self.clear()
-            keys, one, number = P.keys(data, start, end)
-            to = np.searchsorted(self.keys, keys)
-            has = np.zeros(len(keys), bool)
-            inside = to < len(self.keys)
-            has[inside] = self.keys[to[inside]] == keys[inside]
-            if not has.all():
-                self.add(keys[~has], [raw[a:b].decode() for a, b in zip(start[one[~has]].tolist(), end[one[~has]].tolist())])
-                to = np.searchsorted(self.keys, keys)
-            entry = self.at[to][number]
+        entry = self.entries(data, start, end) if len(start) else np.zeros(0, np.int64)
         if close is None:
             border = np.concatenate([[0], np.cumsum(self.size[entry])])
-            return self.flat[P.ragged(self.start[entry], self.size[entry])], border[first]
+            return self.flat[ragged(self.start[entry], self.size[entry])], border[first]
         flat = np.append(self.flat, np.uint32(close))
         starts, sizes = np.append(self.start, len(self.flat)), np.append(self.size, 1)
         entry = np.insert(entry, first[1:], len(self.start))
         border = np.concatenate([[0], np.cumsum(sizes[entry])])
-        return flat[P.ragged(starts[entry], sizes[entry])], border[first + np.arange(len(first))]
+        return flat[ragged(starts[entry], sizes[entry])], border[first + np.arange(len(first))]
 
 
 _CODERS: dict[str, Coder] = {}
@@ -129,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         coder = _CODERS.setdefault(tokenizer, None) or _CODERS.__setitem__(tokenizer, Coder(tokenizer)) or _CODERS[tokenizer]
         for batch in batches:
-            for lo, hi, data, off in V.chunks(batch.column(1), 2 << 20):
+            for lo, hi, data, off in V.chunks(batch.column(1), 1 << 20):
                 ids, border = coder.encode(data, off, close)
                 n = np.diff(border)
                 parts = -(-n // size)
@@ -254,6 +259,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SI
     """Every piece of every document with its place; a document is read and tokenized once."""
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     return pack(table(pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), size=size), "pieces"), size)
 
 

@@ -67,7 +67,7 @@ def test_license(spark):
 def test_bpe(spark):
     ranks = bpe.load_ranks(PT.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = TEXTS + ["z" * 500, "".join(RND.choice("ab é'sѣ\t\n!1") for _ in range(300))]
+    texts = TEXTS + [*thue_morse(2048), "z" * 500, "".join(RND.choice("ab é'sѣ\t\n!1") for _ in range(300))]
     got = by_id(bpe.encode_documents(docs(spark, texts), PT.path("byte_bpe_multi_50k.tiktoken"), with_ids=True))
     for i, t in enumerate(texts):
         assert got[i]["ids"] == enc.encode_ordinary(t or "") and bytes(got[i]["decoded"]).decode() == (t or "")
@@ -80,7 +80,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
-    texts = TEXTS + ["word " * 3000, "a<|endoftext|>b"]
+    texts = TEXTS + [*thue_morse(1024), "word " * 3000, "a<|endoftext|>b"]
     rows = packing.pack_documents(docs(spark, texts)).collect()
     for i, t in enumerate(texts):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -99,6 +99,31 @@ def test_packing(spark):
         assert end <= 1024
 
 
+def thue_morse(n):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_pieces_whose_hashes_collide_keep_their_own_ids(monkeypatch, collide):
+    """Words whose polynomial hashes are equal, and all words under four keys, in batches one after another."""
+    from tallyframe.llm import _pretok as P, _vec as V
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    texts = [*thue_morse(1024), *thue_morse(2048), "the cat", "the dog " * 5, "a b c d e f", "zebra zebra", "x" * 17 + " " + "x" * 16 + "y", ""]
+    if collide:
+        plain = P.codes
+        monkeypatch.setattr(P, "codes", lambda *a: plain(*a)._replace(key=plain(*a).size.astype(V.U64) % V.U64(4)))
+    ranks = bpe.load_ranks(PT.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tok = Tokenizer.from_file(PT.path("byte_bpe_50k.json"))
+    for coder, exact in ((bpe.RankCoder(ranks), enc.encode_ordinary), (packing.Coder(PT.path("byte_bpe_50k.json")), lambda t: tok.encode(t, add_special_tokens=False).ids)):
+        for part in (texts, texts[::-1], texts[::2], texts):
+            ids, border = coder.encode(*V.strings(pa.array(part)), None)
+            assert [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:])] == [exact(t) for t in part]
+
+
 def test_plan_is_best_fit_decreasing():
     for _ in range(100):
         size = RND.choice([7, 16, 64])
