@@ -7,8 +7,8 @@ spans of words; the language with most letters labelled is the prediction.
 
 Cases: null texts and texts without a letter are `und` with score 0; a script that no
 language was seen with leaves all open; with no training text everything is `und`.
-Ties go to the language that comes first in order. Rows are labelled one by one; columns
-beside id and text are ignored.
+Ties go to the language that comes first in order. Rows are labelled one by one; all columns
+are carried along as `row`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _vec as V
-from ._shared import crc_mod
+from ._shared import crc_mod, small_batches
 
 BITS = 16
 #: Cost of a switch of language, in nats; smoothing of a trigram's count; labelled texts to learn from, at most.
@@ -112,7 +113,7 @@ class Model:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, list]:
         """Language, score and spans [(language, first word, end word)] as label runs of each row."""
         langs, scores, labels = [], [], []
-        for _, _, data, off in V.chunks(column, max(1 << 20, (64 << 20) // max(4, len(self.langs)))):
+        for _, _, data, off in V.chunks(column, max(1 << 20, (16 << 20) // max(4, len(self.langs)))):
             parts = [self.word_scores(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in _pieces(off)]
             score, size = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
@@ -180,11 +181,28 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return Model(langs, both[:, : 1 << BITS], both[:, 1 << BITS :])
 
 
+def _label_runs(model: Model, first: np.ndarray, label: np.ndarray, none: np.ndarray) -> pa.Array:
+    """Runs of equal labels of each row as a list of (lang, first_word, end_word); rows of `none` have an empty one."""
+    cut = np.ones(len(label), bool)
+    cut[1:] = label[1:] != label[:-1]
+    cut[first[:-1][first[:-1] < len(label)]] = True
+    row = np.repeat(np.arange(len(none)), np.diff(first))
+    cut &= ~none[row]
+    at = np.flatnonzero(cut)
+    end = np.minimum(np.append(at[1:], len(label)), first[row[at] + 1])
+    border = np.searchsorted(row[at], np.arange(len(none) + 1)).astype(np.int32)
+    names = pa.DictionaryArray.from_arrays(pa.array(label[at].astype(np.int32)), pa.array(model.langs)).cast(pa.string())
+    words = [pa.array((x - first[row[at]]).astype(np.int32)) for x in (at, end)]
+    return pa.ListArray.from_arrays(pa.array(border), pa.StructArray.from_arrays([names, *words], ["lang", "first_word", "end_word"]))
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())]))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_spans (label, first_word, end_word)."""
+    """All columns of docs as `row`, with lang_pred, lang_score and lang_spans (lang, first_word, end_word)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.columns
-    text_at = kept.index(text_col)
     span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     def run(batches):
@@ -192,32 +210,26 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(text_at)
+            column = batch.column(1)
             if not model.langs:
-                langs, scores, spans = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[]] * batch.num_rows
+                langs, scores, spans = ["und"] * batch.num_rows, np.zeros(batch.num_rows), pa.array([[]] * batch.num_rows, span)
             else:
                 langs, scores, labels = model.predict(column)
                 bare = _no_letters(column)
-                langs, scores, spans = ["und" if b else x for x, b in zip(langs, bare.tolist())], np.where(bare, 0.0, scores), []
+                langs, scores, spans, row = ["und" if b else x for x, b in zip(langs, bare.tolist())], np.where(bare, 0.0, scores), [], 0
                 for first, label in labels:
-                    cut = np.ones(len(label), bool)
-                    cut[1:] = label[1:] != label[:-1]
-                    cut[first[:-1][first[:-1] < len(label)]] = True
-                    at = np.flatnonzero(cut)
-                    until = np.append(at[1:], len(label))
-                    of = np.searchsorted(at, first)
-                    for i, (a, b) in enumerate(zip(of[:-1].tolist(), of[1:].tolist())):
-                        spans.append([{"lang": model.langs[label[at[j]]], "first_word": int(at[j] - first[i]), "end_word": int(until[j] - first[i])} for j in range(a, b)])
-            yield pa.record_batch([*batch.columns, pa.array(langs), pa.array(scores), pa.array(spans, span)], [*out.names])
-
-    from pyspark.sql import types as T
+                    spans.append(_label_runs(model, first, label, bare[row : row + len(first) - 1]))
+                    row += len(first) - 1
+                spans = pa.concat_arrays(spans)
+            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), spans], out.names)
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())])))])
-    return docs.mapInArrow(run, out)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    out = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_spans", _SPANS)])
+    return rows.mapInArrow(run, out)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = crc_mod(F.col("doc_id"), 4) == 2
-    model = fit(docs.where(~held))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", (crc_mod(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -234,9 +234,31 @@ def test_language(spark):
     en, fr = "the of and with that this from", "le la des une qui avec dans"
     texts = [" ".join(RND.choice((fr if i % 2 == 0 else en).split()) for _ in range(30)) for i in range(60)] + [None, "", "123 ...", (en + " ") * 5 + (fr + " ") * 2]
     d = docs(spark, texts)
-    got = by_id(language_id.identify(d, language_id.fit(d.where("doc_id < 50"))))
+    model = language_id.fit(d.where("doc_id < 50"))
+    got = {r["row"]["doc_id"]: r for r in language_id.identify(d, model).collect()}
     assert all(got[i]["lang_pred"] == ("fr" if i % 2 == 0 else "en") for i in range(60))
-    assert [got[i]["lang_pred"] for i in (60, 61, 62)] == ["und"] * 3 and [s["lang"] for s in got[63]["lang_spans"]] == ["en", "fr"]
+    assert [got[i]["lang_pred"] for i in (60, 61, 62)] == ["und"] * 3 and [tuple(s) for s in got[63]["lang_spans"]] == [("en", 0, 35), ("fr", 35, 49)]
+    assert [tuple(s) for s in got[60]["lang_spans"] + got[62]["lang_spans"]] == []
+    clash = d.withColumn("lang_pred", F.lit(1)).withColumn("lang_spans", F.lit("x")).withColumn("row", F.lit(2)).withColumn("lang_score", F.lit(3))
+    assert sorted(r["lang_pred"] for r in language_id.identify(clash, model).collect()) == sorted(r["lang_pred"] for r in got.values())
+    assert language_id.identify(d.where("false"), model).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(d, language_id.fit(d.where("false"))).collect()} == {"und"}
+
+
+def test_language_path_is_the_best_of_all(spark):
+    """Viterbi over words against every labelling, by score less a penalty for each switch."""
+    import itertools
+    import pyarrow as pa
+
+    model = language_id.Model(["a", "b", "c"], np.random.default_rng(4).integers(0, 50, (3, 1 << language_id.BITS)).astype(float), np.ones((3, language_id.N_SCRIPTS)))
+    texts = [" ".join("".join(RND.choice("abcdé") for _ in range(RND.randint(1, 9))) for _ in range(n)) for n in (1, 2, 5, 7, 7, 6)]
+    from tallyframe.llm import _vec as V
+
+    score, _, first = model.word_scores(*V.strings(pa.array(texts)))
+    label = model.spans(score, first)
+    for a, b in zip(first[:-1], first[1:]):
+        worth = lambda path: sum(score[a + i, k] for i, k in enumerate(path)) - language_id.SWITCH * sum(x != y for x, y in zip(path, path[1:]))
+        assert worth(label[a:b]) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=b - a))), abs=1e-3)
 
 
 def test_lm_score(spark):
