@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm._shared import crc_mod, table
+from tallyframe.llm._shared import crc_mod, drop_table, table
 from tallyframe.llm.exact_dedup import exact_dedup
 from tallyframe.llm.language_id import fit, identify
 from tallyframe.llm.ngram_join import ngram_join
@@ -22,7 +22,7 @@ from tallyframe.llm.suffix_dedup import remove_repeats
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found: null texts and texts without a letter."""
     model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    return identify(docs, model).where("lang_pred <> 'und'").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
