@@ -4,20 +4,24 @@ Documents are sets of five-word shingles. Equal sets are one class from the star
 is a path of chosen tokens: at each node a set picks tokens by a hash of node and token,
 with a chance that gives sets of the threshold's similarity one shared pick on average;
 sets that pick the same token meet in the child. Nodes with few sets are compared all with
-all, others are split further. RUNS independent trees run side by side, until a pair at
-the threshold is missed with a chance under 1e-3.
-
-At a node with many sets, a leader is compared with all of them. A set within 0.3 of the
-leader need not go further: whatever is within 0.2 of it is within 0.5 of the leader, by the
-triangle inequality of the Jaccard distance, and is linked to it there. (The estimate that
-stands for 0.3 is 0.18, three standard errors nearer.) So a large group of near copies
-takes steps in proportion to its size. What still is together at the
-last level is compared in blocks.
+all, others are split further. Runs of independent trees are repeated until a pair at the
+threshold is missed with a chance under TARGET. From the second level on a set picks among
+its KEEP least hashes, which is a sample of it.
+
+At a node with many sets, a leader, the set with the least hash of all there, is compared
+with each of them. A set within 0.3 of the leader need not go further: whatever is within
+0.2 of it is within 0.5 of the leader, by the triangle inequality of the Jaccard distance,
+and is linked to it there. (The estimate that stands for 0.3 is 0.18, three standard errors
+nearer.) The first run is a pilot of one tree: a set that it finds within 0.3 of a leader
+leaves the later runs for good, if that leader stays. So a large group of near copies takes
+steps in proportion to its size, in one tree. What still is together at the last level is
+compared in blocks.
 
 Comparisons at nodes are estimates from the least hashes of the sets and only propose. The
 components of the proposed pairs are then compared in full: every pair of sets of a
-component by exact Jaccard similarity, in blocks, so that the links of a document are
-counted without a row a pair.
+component by exact Jaccard similarity, so that the links of a document are counted without
+a row a pair. Components of more than BLOCK sets are packed into blocks, a row each, and
+blocks are paired, not sets.
 
 Cases: null and empty texts have no shingle and link with nothing; texts of one to four
 words have one shingle, all their words. Rows with equal sets are copies and count as links
@@ -35,14 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._shared import components, table
+from ._shared import components, drop_table, small_batches, table
 
-SHINGLE, THRESHOLD = 5, 0.8
-RUNS, LEVELS = 12, 4
+SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 4
+#: A pair at the threshold is missed at the first level of all trees with a smaller chance: a tree has no shared pick with 1/e at most.
+TARGET = 1e-5
+RUNS = int(np.ceil(-np.log(TARGET)))
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
 KEEP, PROPOSE, SAME = 96, 0.5, 0.82
 #: Sets at a node that are compared all with all; sets in a block.
-SMALL, BLOCK = 128, 512
+SMALL, BLOCK = 128, 1024
 SEEDS = V.mix(np.arange(1, RUNS + 1, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
 
 
@@ -57,20 +63,20 @@ def chosen(tokens: np.ndarray, node: np.ndarray, branch: float = 1.0) -> tuple[n
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, fp, sketch, nodes): number of shingles, digest of the set, least hashes, children of the roots."""
+    """(doc_id, n, fp, sketch, pilot, nodes): number of shingles, digest of the set, least hashes, children of the first root and of the others."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in V.chunks(batch.column(1)):
                 _, _, first, h = V.word_hashes(data, off)
                 sets = V.shingles(h, first, SHINGLE)
-                fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                fp = [_digest(s) if len(s) else None for s in sets]
                 sketch = [(s[:KEEP] >> V.U64(32)).astype("<u4").tobytes() for s in sets]
-                nodes = [chosen(s, SEEDS)[1].view(np.int64) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), batch.column(2).slice(lo, hi - lo)], ["doc_id", "n", "fp", "sketch", "nodes", "text_hash"])
+                pilot, nodes = ([chosen(s, x)[1].view(np.int64) for s in sets] for x in (SEEDS[:1], SEEDS[1:]))
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()), pa.array(pilot, pa.list_(pa.int64())), pa.array(nodes, pa.list_(pa.int64())), batch.column(2).slice(lo, hi - lo)], ["doc_id", "n", "fp", "sketch", "pilot", "nodes", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, n int, fp binary, sketch binary, nodes array<bigint>, text_hash bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, n int, fp binary, sketch binary, pilot array<bigint>, nodes array<bigint>, text_hash bigint")
 
 
 def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
@@ -93,29 +99,64 @@ def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], n
     return common / np.maximum(up - common, 1)
 
 
+def _joins(fp: list, hits, known: np.ndarray) -> list[tuple]:
+    """Of the hits (pairs of places in fp) those that join what was apart; the known ones are together already."""
+    forest, out = V.Forest(len(fp)), []
+    for x in known[1:].tolist():
+        forest.union(int(known[0]), x)
+    for x, y in hits:
+        if forest.find(x) != forest.find(y):
+            forest.union(x, y)
+            out.append((fp[x], fp[y]))
+    return out
+
+
+def _edges(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+
 def _compare(batches):
-    """Sorted rows (node, side, fp, n, sketch, known) of whole nodes -> a forest of the proposed pairs, less what joins known rows, which are one already. side 2: with all; 0 and 1: across."""
-    for t in V.grouped(batches, ["node", "i", "j"]):
-        fp, n, side = t.column("fp").to_pylist(), t.column("n").to_numpy(), t.column("side").to_numpy()
+    """Sorted rows (node, fp, n, sketch) of whole small nodes -> a forest of the proposed pairs."""
+    for t in V.grouped(batches, ["node"]):
+        fp, n = t.column("fp").to_pylist(), t.column("n").to_numpy()
         sets = [np.frombuffer(x, "<u4") for x in t.column("sketch").to_pylist()]
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        if not len(a) or not len(b):
-            continue
         if len(fp) == 2:
             hit = [(0, 1)] if estimate(sets[0], n[0], sets[1], n[1]) >= PROPOSE else []
         else:
-            x, y = np.nonzero(estimates([sets[i] for i in a], n[a], [sets[i] for i in b], n[b]) >= PROPOSE)
-            hit = zip(a[x].tolist(), b[y].tolist())
-        forest, out = V.Forest(len(fp)), []
-        known = np.flatnonzero(t.column("known").to_numpy(zero_copy_only=False))
-        for x in known[1:].tolist():  # linked by their leader, which has been told
-            forest.union(int(known[0]), x)
-        for x, y in hit:
-            if forest.find(x) != forest.find(y):
-                forest.union(x, y)
-                out.append((fp[x], fp[y]))
-        if out:
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+            x, y = np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1))
+            hit = zip(x.tolist(), y.tolist())
+        if out := _joins(fp, hit, np.zeros(0, np.int64)):
+            yield _edges(out)
+
+
+def block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, nb, fp, n, known, payload) -> (key, i, j, items), sorted: the items of block i and, if it is another, of block j, a row each. A block is a row before it is repeated."""
+    block = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int").alias("b")
+    packed = rows.groupBy(key, "nb", block).agg(F.collect_list(F.struct("fp", "n", "known", "payload")).alias("items"))
+    packed = packed.withColumn("o", F.explode(F.expr("sequence(0, cast(nb AS int) - 1)")))
+    return packed.select(key, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("second"), "items").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "second")
+
+
+def _blocks(batches, key: str):
+    """For each pair of blocks: fp, n, known, payloads of both one after another, and how many the first has (all, if it is one block with itself)."""
+    for t in V.grouped(batches, [key, "i", "j"]):
+        items = t.column("items").combine_chunks()
+        if len(items) == 1 and t.column("i")[0].as_py() != t.column("j")[0].as_py():
+            continue  # the other block is empty
+        flat = items.flatten()
+        yield flat.field("fp").to_pylist(), flat.field("n").to_numpy(), flat.field("known").to_numpy(zero_copy_only=False), flat.field("payload").to_pylist(), len(items[0]), len(items) == 1
+
+
+def _compare_blocks(batches):
+    for fp, n, known, payload, many, alone in _blocks(batches, "node"):
+        sets = [np.frombuffer(x, "<u4") for x in payload]
+        if alone:
+            x, y = np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1))
+        else:
+            x, y = np.nonzero(estimates(sets[:many], n[:many], sets[many:], n[many:]) >= PROPOSE)
+            y = y + many
+        if out := _joins(fp, zip(x.tolist(), y.tolist()), np.flatnonzero(known)):
+            yield _edges(out)
 
 
 def _descend(level: int):
@@ -135,42 +176,54 @@ def _descend(level: int):
     return run
 
 
-def _pairs(rows: DataFrame, nodes: DataFrame, about: DataFrame) -> DataFrame:
-    """rows (node, fp, known) of nodes (node, m, sig) compared all with all, in blocks. Nodes of the same sets, in whatever tree, are compared once."""
-    once = nodes.groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    near = rows.join(once, "node").join(about, "fp")
-    near = near.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")).withColumn("o", F.explode_outer(F.expr("sequence(0, nb - 1)")))
-    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    near = near.select("node", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "fp", "n", "sketch", "known")
-    near = near.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return table(near.mapInArrow(_compare, "a binary, b binary"), "pairs")
-
-
-def propose(sets: DataFrame) -> DataFrame:
-    """sets: (fp, n, sketch, nodes), one row a class. The pairs (a, b) that link what the trees put together."""
-    spark = sets.sparkSession
-    rows, edges = sets.select(F.explode("nodes").alias("node"), "fp").distinct(), []
-    about = sets.select("fp", "n", "sketch")
+def descend(rows: DataFrame, about: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """rows (node, fp) of the first level. The proposed pairs (a, b), and pairs (fp, leader) of sets that are as good as a leader."""
+    edges, near = [], []
     for level in range(1, LEVELS + 1):
-        stats = table(rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig"), F.min_by("fp", F.xxhash64("node", "fp")).alias("leader")).where("m > 1"), "nodes")
-        edges.append(_pairs(rows.withColumn("known", F.lit(False)), stats.where(F.col("m") <= SMALL), about))
+        sized = rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig"), F.min_by("fp", F.xxhash64("fp")).alias("leader")).where("m > 1")
+        stats = table(sized, "nodes")
+        # nodes of the same sets, in whatever tree, are compared once
+        once = stats.where(F.col("m") <= SMALL).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node")
+        small = rows.join(once, "node").join(about, "fp").select("node", "fp", "n", "sketch").repartition("node").sortWithinPartitions("node")
+        edges.append(table(small.mapInArrow(_compare, "a binary, b binary"), "pairs"))
         large = stats.where(F.col("m") > SMALL)
         if not large.limit(1).count():
+            drop_table(stats)
             break
         lead = large.select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")
         down = rows.join(lead, "node").join(about, "fp").select("node", "fp", "n", "sketch", "leader", "ln", "lsketch")
         down = table(down.mapInArrow(_descend(level), "node bigint, fp binary, leader binary, alike double, children array<bigint>"), "down")
-        edges.append(down.where((F.col("alike") >= PROPOSE) & (F.col("fp") != F.col("leader"))).select(F.col("fp").alias("a"), F.col("leader").alias("b")))
+        drop_table(stats)
+        others = down.where(F.col("fp") != F.col("leader"))
+        edges.append(others.where(F.col("alike") >= PROPOSE).select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct())
+        near.append(others.where(F.col("alike") >= SAME).select("fp", "leader").distinct())
         # where the leader is linked with all, they are one component already
-        apart = down.groupBy("node").agg(F.min("alike").alias("least")).where(F.col("least") < PROPOSE).select("node")
+        apart = down.groupBy("node").agg(F.min("alike").alias("least"), F.count_if(F.col("alike") < SAME).alias("m")).where(F.col("least") < PROPOSE).select("node", "m")
         on = down.where(F.col("alike") < SAME).join(apart, "node")
         if level < LEVELS:
-            rows = on.select(F.explode("children").alias("node"), "fp").distinct()
+            rows = table(on.select(F.explode("children").alias("node"), "fp").distinct(), "rows")
         else:
-            rest = on.select("node", "fp", (F.col("alike") >= PROPOSE).alias("known"))
-            edges.append(_pairs(rest, rest.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig")), about))
-    out = spark.createDataFrame([], "a binary, b binary")
-    for e in edges:
+            rest = on.join(about, "fp").select("node", F.ceil(F.col("m") / BLOCK).alias("nb"), "fp", "n", (F.col("alike") >= PROPOSE).alias("known"), F.col("sketch").alias("payload"))
+            edges.append(block_pairs(rest, "node").mapInArrow(_compare_blocks, "a binary, b binary"))
+    return edges, near
+
+
+def propose(sets: DataFrame) -> DataFrame:
+    """sets: (fp, n, sketch, pilot, nodes), one row a class. The pairs (a, b) that link what the trees put together."""
+    about = sets.select("fp", "n", "sketch")
+    edges, near = descend(sets.select(F.explode("pilot").alias("node"), "fp").distinct(), about)
+    left = sets
+    if near:
+        like = near[0]
+        for more in near[1:]:
+            like = like.unionByName(more)
+        like = table(like, "near")
+        # a leader that is itself near another one keeps its followers in the runs to come
+        gone = like.join(like.select(F.col("fp").alias("leader")).distinct(), "leader", "left_anti").select("fp").distinct()
+        left = table(sets.select("fp", "nodes").join(gone, "fp", "left_anti"), "left")
+    edges += descend(left.select(F.explode("nodes").alias("node"), "fp").distinct(), about)[0]
+    out = edges[0]
+    for e in edges[1:]:
         out = out.unionByName(e)
     return out
 
@@ -187,8 +240,9 @@ def linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     row, number = row[keep], (np.cumsum(times > 1) - 1)[number[keep]]
     order = np.argsort(number, kind="stable")
     row, number = row[order], number[order]
-    common, width = np.zeros((len(a), len(b)), np.float32), 4096
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+    common, many = np.zeros((len(a), len(b)), np.float32), int(number[-1]) + 1 if len(number) else 0
+    width = min(4096, many)
+    for lo in range(0, many, max(1, width)):
         p, q = np.searchsorted(number, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[p:q], number[p:q] - lo] = 1
@@ -197,47 +251,80 @@ def linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return a[x], b[y]
 
 
+def _digest(one: np.ndarray) -> bytes:
+    return hashlib.blake2b(one.tobytes(), digest_size=16).digest()
+
+
+def own_sets(t: pa.RecordBatch | pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the texts, and which rows hold a class's own text: one a class, and not another text of a repeated id."""
+    data, off = V.strings(t.column("text"))
+    _, _, first, h = V.word_hashes(data, off)
+    sets, fp = V.shingles(h, first, SHINGLE), t.column("fp").to_pylist()
+    own = np.array([_digest(s) == f for s, f in zip(sets, fp)], bool)
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(own).tolist():
+        own[i] = seen.setdefault(fp[i], i) == i
+    return sets, own
+
+
+def _links(fp: list, copies: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, both_ways: bool):
+    """(a, b, links): linked documents of class a among these sets, and its root b there."""
+    x, y = linked(sets, a, b)
+    links = np.bincount(x, copies[y], len(fp))
+    if both_ways:  # across blocks each pair comes once
+        links += np.bincount(y, copies[x], len(fp))
+    forest = V.Forest(len(fp))
+    for p, q in zip(x.tolist(), y.tolist()):
+        forest.union(p, q)
+    some = np.flatnonzero(links).tolist()
+    if some:
+        yield pa.record_batch([pa.array([fp[i] for i in some], pa.binary()), pa.array([fp[forest.find(i)] for i in some], pa.binary()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+
+
 def _verify(batches):
-    """Sorted rows (component, i, j, side, fp, copies, text) -> (a, b, links): linked documents of class a in this pair of blocks, and its root b there."""
-    for t in V.grouped(batches, ["component", "i", "j"]):
-        fp, copies, side = t.column("fp").to_pylist(), t.column("copies").to_numpy(), t.column("side").to_numpy()
-        data, off = V.strings(t.column("text"))
-        _, _, first, h = V.word_hashes(data, off)
-        sets = V.shingles(h, first, SHINGLE)
-        # a row whose text is another one of a repeated id is not the class's own
-        own = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == f for s, f in zip(sets, fp)], bool)
-        seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(own).tolist():
-            own[i] = seen.setdefault(fp[i], i) == i
-        a, b = np.flatnonzero(own & (side != 1)), np.flatnonzero(own & (side != 0))
-        if not len(a) or not len(b):
-            continue
-        x, y = linked(sets, a, b)
-        links = np.bincount(x, copies[y], len(fp))
-        if side[a[0]] != 2:  # across blocks each pair comes once
-            links += np.bincount(y, copies[x], len(fp))
-        forest = V.Forest(len(fp))
-        for p, q in zip(x.tolist(), y.tolist()):
-            forest.union(p, q)
-        some = np.flatnonzero(links).tolist()
-        if some:
-            yield pa.record_batch([pa.array([fp[i] for i in some], pa.binary()), pa.array([fp[forest.find(i)] for i in some], pa.binary()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+    """Sorted rows (component, fp, copies, text) of whole components."""
+    for t in V.grouped(batches, ["component"]):
+        sets, own = own_sets(t)
+        at = np.flatnonzero(own)
+        if len(at) > 1:
+            yield from _links(t.column("fp").to_pylist(), t.column("copies").to_numpy(), sets, at, at, False)
+
+
+def _as_sets(batches):
+    """Rows (component, nb, fp, n, text) -> (component, nb, fp, n, known, payload): the set instead of the text."""
+    for batch in batches:
+        sets, own = own_sets(batch)
+        at = pa.array(np.flatnonzero(own))
+        payload = pa.array([sets[i].tobytes() for i in at.to_pylist()], pa.binary())
+        yield pa.record_batch([*(batch.column(c).take(at) for c in ("component", "nb", "fp", "n")), pa.array([False] * len(at)), payload], ["component", "nb", "fp", "n", "known", "payload"])
+
+
+def _verify_blocks(batches):
+    for fp, copies, _, payload, many, alone in _blocks(batches, "component"):
+        sets = [np.frombuffer(x, "<u8") for x in payload]
+        at = np.arange(len(fp))
+        yield from _links(fp, copies, sets, at[:many], at if alone else at[many:], not alone)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, n_shingles, text_hash) for every row: the least id of what it is linked to, over any number of links, and the number of documents that it is linked to directly."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     all_rows = table(sketches(docs), "sketches")
     some = all_rows.where("fp IS NOT NULL")
-    sets = table(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "sets")
+    firsts = [F.first(c).alias(c) for c in ("n", "sketch", "pilot", "nodes")]
+    sets = table(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *firsts), "sets")
     member = table(components(propose(sets)).withColumnRenamed("id", "fp"), "proposed")
-    size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    member = member.join(size, "component").join(sets.select("fp", "doc_id", "copies"), "fp")
-    texts = member.withColumnRenamed("doc_id", "rep").join(docs, F.col("rep").eqNullSafe(F.col("doc_id"))).drop("rep", "doc_id")
-    texts = texts.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")).withColumn("o", F.explode_outer(F.expr("sequence(0, nb - 1)")))
-    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    texts = texts.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "fp", "copies", "text")
-    found = table(texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_verify, "a binary, b binary, links bigint"), "links")
+    size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    member = member.join(size, "component").join(sets.select("fp", F.col("doc_id").alias("rep"), F.col("copies").alias("n")), "fp")
+    # one row a class where ids do not repeat; of rows that repeat id and text any may stand for it
+    texts = table(member.join(docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "nb", "fp", "n", "text"), "texts")
+    within = texts.where("nb = 1").select("component", "fp", F.col("n").alias("copies"), "text").repartition("component").sortWithinPartitions("component")
+    blocks = texts.where("nb > 1").mapInArrow(_as_sets, "component binary, nb bigint, fp binary, n bigint, known boolean, payload binary")
+    blocks = blocks.groupBy("component", "nb", "fp", "n", "known").agg(F.first("payload").alias("payload"))
+    found = within.mapInArrow(_verify, "a binary, b binary, links bigint").unionByName(block_pairs(blocks, "component").mapInArrow(_verify_blocks, "a binary, b binary, links bigint"))
+    found = table(found, "links")
+    drop_table(texts)
     links = found.groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b")).withColumnRenamed("id", "fp").join(sets.select("fp", "doc_id"), "fp")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
