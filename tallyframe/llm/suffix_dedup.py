@@ -263,9 +263,11 @@ def _sorted(pieces: DataFrame) -> DataFrame:
 def repeated(texts: DataFrame) -> DataFrame:
     """texts (id, text), distinct -> (id, spans): the starts of each text's repeated windows, as runs (lo, hi), both included."""
     made = table(bundles(texts), "bundles")
-    often = made.groupBy("g").count().where("count > 1").select("g")
+    # both sides of a join on a key that may be hot are tables: then it splits under adaptive execution
+    often = table(made.groupBy("g").count().where("count > 1").select("g"), "often")
     kept = table(made.join(often, "g"), "bundles")
-    drop_table(made)
+    for gone in (made, often):
+        drop_table(gone)
     each = table(kept.groupBy("g", "c").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "shift", "lo", "hi"), F.struct("id", "lo")).alias("at")), "contexts")
     found = [each.where("m > 1").select("c", F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))]
     size = each.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
@@ -283,10 +285,10 @@ def repeated(texts: DataFrame) -> DataFrame:
     often = single.groupBy("w").count().where("count > 1").select("w")
     found.append(single.join(often, "w").select("c", F.col("s").alias("lo"), F.col("s").alias("hi")))
     all_found = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    by_c = all_found.groupBy("c").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    by_c = table(all_found.groupBy("c").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "by-context")
     spans = kept.join(by_c, "c").select("id", F.expr("transform(found, x -> struct(lo + x.lo AS lo, lo + x.hi AS hi))").alias("spans"))
     out = table(spans.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    for gone in (kept, each, found[1], found[2], single):
+    for gone in (kept, each, found[1], found[2], single, by_c):
         drop_table(gone)
     return out
 

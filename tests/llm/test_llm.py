@@ -45,13 +45,37 @@ def test_exact(spark):
     assert exact_dedup.exact_dedup(docs(spark, []).where("false")).count() == 0
 
 
+def test_exact_of_many_small_buckets_with_chains(spark, monkeypatch):
+    """Buckets beyond the histogram's depth, repeated and null ids, and texts that share a key."""
+    monkeypatch.setattr(exact_dedup, "DEPTH", 3)
+    texts = [f"text {i % 90} " + "long " * (i % 7) for i in range(400)] + [TEXTS[0]] * 50 + [None, ""]
+    rows = [(None if i % 11 == 0 else i // 2, t, i, "x") for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int, dedup string").repartition(6)
+    groups = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        groups[t or ""].append(-1 if i is None else i)
+
+    def holds():
+        index = exact_dedup.build_index(d, bucket_bytes=300)[0].collect()
+        assert len(index) == len(groups) == len({(r.bucket, r.h, r.chain) for r in index})
+        for r in exact_dedup.exact_dedup(d, bucket_bytes=300).collect():
+            g, i = groups[r.row.text or ""], -1 if r.row.doc_id is None else r.row.doc_id
+            assert (r.dedup.group_size, r.dedup.kept, -1 if r.dedup.keep_id is None else r.dedup.keep_id) == (len(g), i == max(g), max(g))
+        return index
+
+    buckets = collections.Counter(r.bucket for r in holds())
+    assert len(buckets) > 8 and {r.chain for r in holds()} == {0}
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.length(*c).cast("long"))
+    assert max(r.chain for r in holds()) > 3
+
+
 def test_directory_splits_overfull_buckets():
-    weights = {i: 10 for i in range(0, 4096, 16)} | {5: 1000}
+    weights = {i: 10 for i in range(0, 1 << 16, 256)} | {5: 5000}
     slots = exact_dedup.directory(weights, 400)
     load = collections.Counter()
     for i, w in weights.items():
         load[slots[i]] += w
-    assert len(slots) == 4096 and slots == sorted(slots) and all(v <= 400 or b == slots[5] for b, v in load.items())
+    assert len(slots) == 1 << 16 and slots == sorted(slots) and all(w <= 400 << more for (_, more), w in load.items()) and slots[5][1] == 4
 
 
 def test_license(spark):
