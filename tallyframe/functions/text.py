@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 _ABC = "abcdefghijklmnopqrstuvwxyz"
 
 # Letters and what they turn into at full strength.
-LEET = ("aeiost", "431057")
-HOMOGLYPH = ("aceopxy", "асеорху")
+LEET = ("aeiostAEIOST", "431057431057")
+HOMOGLYPH = ("aceopxyACEOP", "асеорхуАСЕОР")
+
+
+def upper(s: Column) -> Column:
+    """Letter by letter: ß, whose capital is two letters, stays."""
+    aside = "\ufdd0"
+    return F.translate(F.upper(F.translate(s, "ß", aside)), aside, "ß")
 
 
 def rot13(s: Column) -> Column:
@@ -48,4 +54,4 @@ def family_pattern(glob: str) -> str:
 
 
 #: Named transforms; callers may add their own.
-TRANSFORMS = {"upper": F.upper, "lower": F.lower, "base64": lambda s: F.regexp_replace(F.base64(F.encode(s, "utf-8")), r"\r\n", ""), "hex": lambda s: F.lower(F.hex(F.encode(s, "utf-8"))), "rot13": rot13, "spaced": spaced, "leet": leet, "homoglyph": homoglyph}
+TRANSFORMS = {"upper": upper, "lower": F.lower, "base64": lambda s: F.regexp_replace(F.base64(F.encode(s, "utf-8")), r"\r\n", ""), "hex": lambda s: F.lower(F.hex(F.encode(s, "utf-8"))), "rot13": rot13, "spaced": spaced, "leet": leet, "homoglyph": homoglyph}

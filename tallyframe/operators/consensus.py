@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ def soft_choice(options: Column, option: Column, confidence: Column) -> Column:
     """A distribution from one option and a confidence, which is kept within [1/k, 1]; the rest is spread evenly."""
     k = F.size(options)
     c = F.greatest(F.least(confidence, F.lit(1.0)), 1.0 / k)
-    return F.transform(options, lambda o: F.when(o == option, c).otherwise((1.0 - c) / (k - 1)))
+    return F.transform(options, lambda o: F.when(o == option, c).otherwise((1.0 - c) / F.greatest(k - 1, F.lit(1))))
 
 
 def noul_consensus(verdicts: DataFrame, teachers: int, key: str = "ex_id") -> DataFrame:
@@ -44,9 +47,29 @@ def parsed_items(raw: Column) -> Column:
     return F.from_json(raw, "struct<items: array<struct<id: string, p: double, option: string, confidence: double, level: string>>>")["items"]
 
 
-def first_object(raw: Column) -> Column:
-    """The text from the first brace to the last, out of prose or a code fence."""
-    return F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+def find_object(raw: str | None, key: str) -> str | None:
+    """The first JSON object in a text, whatever stands around it, that has the key at its top; null without one."""
+    decoder, at = json.JSONDecoder(), 0
+    while raw is not None and (at := raw.find("{", at)) >= 0:
+        try:
+            found, end = decoder.raw_decode(raw, at)
+        except ValueError:
+            at += 1
+            continue
+        if key in found:
+            return raw[at:end]
+        at = end
+    return None
+
+
+def first_object(raw: Column, key: str) -> Column:
+    """find_object() of a column: out of prose or a code fence."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: find_object(t, key))
+
+    return found(raw)
 
 
 def distinct_variants(variants: Column, source: Column, k: int) -> Column:

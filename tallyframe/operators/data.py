@@ -32,19 +32,28 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), key), key)
 
 
-def gazetteer(df: DataFrame, alpha: float = 1.0, least: float = 0.0) -> DataFrame:
-    """(value, weight) -> flattened weights and their running sum, in the order of values; an alpha of zero or less is one."""
+def gazetteer(df: DataFrame, alpha: float = 1.0, least: float = 0.0, prefix: int = 3) -> DataFrame:
+    """(value, weight) -> flattened weights and their running sum, in the order of values; an alpha of zero or less is one.
+
+    Values are summed within groups of one beginning, and the sums of the groups before are added.
+    """
     kept = df.where((F.col("weight") > 0) & (F.col("weight") >= least)).withColumn("weight", F.pow("weight", F.lit(alpha if alpha > 0 else 1.0)))
-    # the lists are short and drawn from by one generator; their order is total
-    return kept.withColumn("cum", F.sum("weight").over(Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.withColumn("_at", F.substring("value", 1, prefix))
+    groups = kept.groupBy("_at").agg(F.sum("weight").alias("_w"))
+    groups = groups.select("_at", (F.sum("_w").over(Window.partitionBy(F.lit(0)).orderBy("_at")) - F.col("_w")).alias("_before"))
+    within = F.sum("weight").over(Window.partitionBy("_at").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("cum", within).join(groups, "_at").withColumn("cum", F.col("cum") + F.col("_before")).drop("_at", "_before")
 
 
-def picks(draws: DataFrame, flat: DataFrame) -> DataFrame:
-    """draws (.., u in [0, 1)) with the value that u falls on."""
-    spans = flat.groupBy().agg(F.array_sort(F.collect_list(F.struct("cum", "value"))).alias("g"))
-    out = draws.join(F.broadcast(spans))
-    goal = F.col("u") * F.element_at("g", -1)["cum"]
-    return out.withColumn("value", F.filter("g", lambda x: x["cum"] > goal)[0]["value"]).drop("g")
+def picks(draws: DataFrame, flat: DataFrame, per_cell: int = 64) -> DataFrame:
+    """draws (.., u in [0, 1)) with the value that u falls on. The whole weight is cut into equal cells, some `per_cell` values each, and draws meet the values of their cell."""
+    whole = flat.agg(F.max("cum").alias("total"), F.count("*").alias("n")).first()
+    cells, total = max(1, whole["n"] // per_cell), whole["total"] or 1.0
+    cell = lambda x: F.least(F.floor(x / total * cells), F.lit(cells - 1))
+    spans = flat.select("value", F.col("cum").alias("_hi"), (F.col("cum") - F.col("weight")).alias("_lo"))
+    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    out = draws.withColumn("_goal", F.col("u") * total).withColumn("_cell", cell(F.col("_goal"))).join(spans, "_cell")
+    return out.where((F.col("_goal") >= F.col("_lo")) & (F.col("_goal") < F.col("_hi"))).drop("_cell", "_goal", "_lo", "_hi")
 
 
 def candidate_pairs(examples: DataFrame, options: list[str], correct: str) -> DataFrame:
@@ -59,18 +68,19 @@ def length_batches(df: DataFrame, length: str, key: str, size: int, seed: int, w
     return dealt.withColumn("batch", F.struct("w", F.floor(rank / size).alias("n"))).drop("w")
 
 
-def choice_batches(labels: DataFrame, size: int, seed: int) -> DataFrame:
+def choice_batches(labels: DataFrame, size: int, seed: int, share: int = 50_000) -> DataFrame:
     """labels (ex_id, question, option) -> the batch of each, `size` to a batch and question in a seeded order.
 
-    Ranks are made within a hundred buckets a question by hash and then shifted by the counts
+    Ranks are made within buckets of about `share` rows by hash and then shifted by the counts
     of the buckets before, so that no question is sorted in one task.
     """
+    parts = labels.count() // share + 1
     order = F.xxhash64(F.lit(seed), "ex_id")
-    dealt = labels.withColumn("o", order).withColumn("part", F.floor((F.col("o") / F.lit(2.0**63) + 1) * 50).cast("int"))
+    dealt = labels.withColumn("o", order).withColumn("part", F.floor((F.col("o") / F.lit(2.0**63) + 1) * (parts / 2)).cast("int"))
     count = dealt.groupBy("question", "part").agg(F.count("*").alias("n"))
     before = count.withColumn("before", F.sum("n").over(Window.partitionBy("question").orderBy("part")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("question", "part").orderBy("o", "ex_id")) - 1
-    out = dealt.withColumn("r", rank).join(F.broadcast(before), ["question", "part"])
+    out = dealt.withColumn("r", rank).join(before, ["question", "part"])
     return out.select("ex_id", "question", "option", F.floor((F.col("r") + F.col("before")) / size).alias("batch"))
 
 
@@ -100,9 +110,12 @@ def relevance_mask(batch: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the first in order, found by partial aggregation."""
-    best = df.groupBy(*keys).agg(F.min(order).alias(order))
-    return df.join(best, [*keys, order], "left_semi")
+    """Of rows with equal keys, nulls being equal, those that are first in order; found by partial aggregation."""
+    best = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order).alias("_first"))
+    same = F.col(order).eqNullSafe(F.col("_first"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(best, same, "left_semi")
 
 
 def previous(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = 1000) -> DataFrame:

@@ -65,6 +65,23 @@ def auc(df: DataFrame, z: str = "z", y: str = "y", by: list[str] | None = None)
     return out.select(*by, F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn")).alias("auc"))
 
 
+def quantiles(df: DataFrame, by: str, value: str, at: list[float]) -> DataFrame:
+    """(by, q, at, n): of each group the least value that a share q of its rows does not exceed, nulls left out.
+
+    Values are counted first; the running count goes over ranges of values, whose sums are few, and each range runs on its own.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ends = per.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    per = per.join(ends, per[by].eqNullSafe(ends[by])).drop(ends[by])
+    share = F.coalesce(F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    per = per.withColumn("_bin", F.floor(share * 4096))
+    bins = per.groupBy(F.col(by).alias("_by"), F.col("_bin").alias("_b")).agg(F.sum("_c").alias("_bn"))
+    bins = bins.withColumn("_below", F.sum("_bn").over(Window.partitionBy("_by").orderBy("_b")) - F.col("_bn")).drop("_bn")  # 4097 rows a group at most
+    ranked = per.withColumn("_upto", F.sum("_c").over(Window.partitionBy(by, "_bin").orderBy("_v"))).join(bins, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_b")))
+    out = ranked.withColumn("q", F.explode(F.array(*map(F.lit, at)))).where(F.col("_below") + F.col("_upto") >= F.ceil(F.col("q") * F.col("n")))
+    return out.groupBy(by, "q").agg(F.min("_v").alias("at"), F.max("n").alias("n"))
+
+
 def ece(df: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
     """Expected calibration error over bins of equal width."""
     per = df.select(F.least(F.floor(confidence * bins), F.lit(bins - 1)).alias("b"), confidence.alias("c"), correct.cast("double").alias("ok")).groupBy("b").agg(F.count("*").alias("n"), F.avg("c").alias("c"), F.avg("ok").alias("ok"))

@@ -63,10 +63,10 @@ def index(questions: list[Question], name: str) -> int:
 
 
 def noul_target(v: Column) -> Column:
-    """1 or 0 for a boolean, a number within [0, 1] for itself; null without one."""
-    flag, number = F.try_variant_get(v, "$", "boolean"), F.try_variant_get(v, "$", "double")
-    is_flag = F.schema_of_variant(v) == "BOOLEAN"
-    return F.when(is_flag, flag.cast("double")).when(number.between(0, 1), number)
+    """1 or 0 for a boolean, a number within [0, 1] for itself; null for all else, strings of a number included."""
+    flag, number, kind = F.try_variant_get(v, "$", "boolean"), F.try_variant_get(v, "$", "double"), F.schema_of_variant(v)
+    is_number = kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+    return F.when(kind == "BOOLEAN", flag.cast("double")).when(is_number & number.between(0, 1), number)
 
 
 def choice_target(options: Column, name: Column, weights: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.examples import SPACE
+
 
 def plan_windows(n: Column, size: int, margin: int) -> Column:
     """Windows (start, end, keep_from, keep_to) over n tokens: slices of equal size are kept, a margin more is read on either side."""
@@ -125,22 +127,21 @@ def tagged_spans(tags: list[int], tokens: list[tuple[int, int]], types: list[str
 
 
 # Signs that are cut off a passage at its start and end, and brackets by closing sign.
-LEADING, TRAILING = "([{«‹“‘\"'¿¡ ", ",;:!?)]}»›”’\"' "
-BRACKETS = {")": "(", "]": "[", "}": "{", "»": "«", "›": "‹", "”": "“", "’": "‘"}
+LEADING, TRAILING = "([{«‹“‘\"'¿¡", ",;:!?)]}»›”’\"'"
+BRACKETS = {")": "(", "]": "[", "}": "{", "»": "«", "›": "‹", "”": "“"}
 
 
 def trim(text: str) -> tuple[int, int]:
-    """Character bounds without punctuation; a closing bracket with its opener inside stays; if all would go, all stays."""
-    a, b = 0, len(text)
-    while a < b and text[a] in LEADING:
-        a += 1
-    while b > a and text[b - 1] in TRAILING:
-        sign = text[b - 1]
-        opener = BRACKETS.get(sign)
-        if opener and text[a : b - 1].count(opener) > text[a : b - 1].count(sign):
-            break
+    """Character bounds without white space and punctuation; a closing bracket with its opener inside stays; if all would go, all stays."""
+    a = len(text) - len(text.lstrip(LEADING + SPACE))
+    b = len(text)
+    while b > a:
+        sign, inside = text[b - 1], text[a : b - 1]
+        closes = sign in BRACKETS and inside.count(BRACKETS[sign]) > inside.count(sign)
+        if closes or sign not in TRAILING + SPACE:
+            return a, b
         b -= 1
-    return (a, b) if a < b else (0, len(text))
+    return 0, len(text)
 
 
 def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:

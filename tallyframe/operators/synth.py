@@ -59,10 +59,8 @@ class Template:
 # ---- transforms
 
 
-def _swap(pair: tuple[str, str], chance: float, small_only: str = "") -> Callable[[str, random.Random], str]:
-    table = dict(zip(pair[0] + pair[0].upper(), pair[1] + pair[1].upper()))
-    for c in small_only.upper():
-        del table[c]
+def _swap(pair: tuple[str, str], chance: float) -> Callable[[str, random.Random], str]:
+    table = dict(zip(*pair))
     return lambda s, rnd: "".join(table[c] if c in table and rnd.random() < chance else c for c in s)
 
 
@@ -79,7 +77,7 @@ TRANSFORMS: dict[str, Callable[[str, random.Random], str]] = {
     "rot13": lambda s, _: codecs.encode(s, "rot13"),
     "spaced": lambda s, _: re.sub(r"(?<=.)(?=[^ ])", " ", s, flags=re.S),
     "leet": _swap(LEET, 0.7),
-    "homoglyph": _swap(HOMOGLYPH, 0.5, small_only="xy"),
+    "homoglyph": _swap(HOMOGLYPH, 0.5),
     "zwsp": _after("​", 0.3, str.isalpha),
     "noise": _after(" ", 0.35, lambda c: c not in " \n"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +13,20 @@ from ..functions import scalar as S
 
 
 def hash_encoding(text: Column, dim: int = 64) -> Column:
-    """A signed bag of hashed words, of unit length."""
+    """A signed bag of hashed words, of unit length. Words are hashed by Spark; each is added to its cell once."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cells = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    bag = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
-    return S.unit(bag)
+    cells = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)))
+
+    @F.pandas_udf("array<double>")
+    def bag(cells: pd.Series) -> pd.Series:
+        n = cells.map(lambda c: 0 if c is None else len(c)).to_numpy(np.int64)
+        flat = np.concatenate([c for c in cells if c is not None and len(c)] or [np.zeros(0)]).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        sums = np.bincount(row * dim + flat // 2, 1.0 - 2 * (flat % 2), len(n) * dim).reshape(-1, dim)
+        sums /= np.sqrt((sums**2).sum(1, keepdims=True) + 1e-24)
+        return pd.Series([None if c is None else x for c, x in zip(cells, sums.tolist())])
+
+    return bag(cells)
 
 
 class AdamW:
@@ -48,13 +58,15 @@ def clip(grads: list[np.ndarray], limit: float = 1.0) -> float:
 
 
 def fit_head(df: DataFrame, vector: str, target: str, classes: int, epochs: int = 30, lr: float = 0.05, progress: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A softmax head on frozen vectors. Each epoch is one job: partitions sum loss and gradient, the driver steps on sums of the head's size."""
+    """A softmax head on frozen vectors; rows without a target or with no vector of the first one's width are left out, and no row gives a head of width zero. Each epoch is one job: partitions sum loss and gradient, the driver steps on sums of the head's size."""
     import pyarrow as pa
 
-    dim = df.select(F.size(vector)).first()[0]
+    known = df.where(F.col(target).isNotNull() & F.col(vector).isNotNull())
+    first = known.select(F.size(vector)).first()
+    dim = first[0] if first else 0
     w, b, opt = np.zeros((classes, dim)), np.zeros(classes), AdamW(lr, 0.0)
-    rows = df.where(F.col(target).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), F.col(target).cast("int").alias("y"))
-    for epoch in range(epochs):
+    rows = known.where(F.size(vector) == dim).select(F.col(vector).cast("array<double>").alias("x"), F.col(target).cast("int").alias("y"))
+    for epoch in range(epochs if first else 0):
         now_w, now_b = w.copy(), b.copy()
 
         def sums(batches, now_w=now_w, now_b=now_b):

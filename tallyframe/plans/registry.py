@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import text as T
+from ..functions import tokens
 from ..operators import consensus as C
-from ..operators import data, decide, schema, spans, training
+from ..operators import data, decide, evaluate, labelled, requests, schema, spans, training, windows
 from ..operators import open_mode as O
 from ..sources import examples as X
 from ..streaming import live
@@ -174,13 +175,13 @@ def search_batches(spark, d):
     return per.agg(F.sum("n").alias("pairs"), F.bool_and((F.col("n") == F.col("q")) & (F.col("n") <= 32)).alias("queries_once"))
 
 
-@query("""WITH b AS (SELECT c_nationkey AS batch, c_custkey AS query_id, (c_custkey % 50) AS document_id FROM customer),
+@query("""WITH b AS (SELECT c_custkey // 32 AS batch, c_custkey AS query_id, (c_custkey % 50) AS document_id FROM customer),
 r AS (SELECT DISTINCT c_custkey AS query_id, (c_custkey + k * 13) % 50 AS candidate FROM customer, (SELECT unnest([0, 1]) AS k)),
 x AS (SELECT b.*, candidate FROM b JOIN (SELECT DISTINCT batch, document_id AS candidate FROM b) USING (batch))
 SELECT x.batch, x.query_id, x.document_id, x.candidate, x.candidate = x.document_id AS positive, r.query_id IS NOT NULL AND x.candidate <> x.document_id AS masked FROM x LEFT JOIN r ON x.query_id = r.query_id AND x.candidate = r.candidate""")
 def relevance_mask(spark, d):
     c = _t(spark, d, "customer")
-    batch = c.select(F.col("c_nationkey").alias("batch"), F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 50).alias("document_id"))
+    batch = c.select(F.floor(F.col("c_custkey") / 32).alias("batch"), F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 50).alias("document_id"))
     rel = c.select(F.col("c_custkey").alias("query_id"), F.explode(F.array(F.col("c_custkey") % 50, (F.col("c_custkey") + 13) % 50)).alias("document_id"))
     return data.relevance_mask(batch, rel)
 
@@ -372,8 +373,8 @@ def nll_grid(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS median, round(quantile_disc(value, 0.9), 6) AS p90 FROM events GROUP BY 1""")
 def latency_quantiles(spark, d):
-    """Exact quantiles by counting values, then by the running count over a group's distinct values."""
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), _r(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)")).alias("median"), _r(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)")).alias("p90"))
+    q = decide.quantiles(_t(spark, d, "events"), "event_type", "value", [0.5, 0.9])
+    return q.groupBy("event_type").agg(F.max("n").alias("n"), _r(F.max(F.when(F.col("q") == 0.5, F.col("at")))).alias("median"), _r(F.max(F.when(F.col("q") == 0.9, F.col("at")))).alias("p90"))
 
 
 # ---- consensus
@@ -402,9 +403,9 @@ def consensus_choice(spark, d):
     return C.choice_consensus(v, 2).select("ex_id", "option", _r("p").alias("p"), "choice")
 
 
-@query("""SELECT o_custkey AS ex_id, min(o_orderpriority) AS level FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 4 < 2) GROUP BY 1 HAVING count(*) = 2 AND min(o_orderpriority) = max(o_orderpriority)""")
+@query("""SELECT o_custkey AS ex_id, min(o_orderpriority) AS level FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders) GROUP BY 1 HAVING count(*) = 2 AND min(o_orderpriority) = max(o_orderpriority)""")
 def consensus_score(spark, d):
-    v = _t(spark, d, "orders").where("o_orderkey % 4 < 2").select(F.col("o_custkey").alias("ex_id"), F.col("o_orderstatus").alias("teacher"), F.col("o_orderpriority").alias("level")).distinct()
+    v = _t(spark, d, "orders").select(F.col("o_custkey").alias("ex_id"), F.col("o_orderstatus").alias("teacher"), F.col("o_orderpriority").alias("level")).distinct()
     return C.score_consensus(v, 2)
 
 
@@ -454,14 +455,17 @@ def pair_truncation(spark, d):
     return _t(spark, d, "documents").select("doc_id", a.alias("a"), spans.pair_budget(a, F.col("n_chars"), 512).alias("b")).select("doc_id", "a", F.col("b.keep_a").cast("long").alias("keep_a"), F.col("b.keep_b").cast("long").alias("keep_b"))
 
 
-_TOK = "(SELECT doc_id, i, i * 6 AS s, i * 6 + 5 AS e FROM documents, (SELECT unnest(range(12)) AS i))"
+_TOK = "(SELECT doc_id, unnest(range(coalesce(length(text), 0) // 6)) AS i, i * 6 AS s, i * 6 + 5 AS e FROM documents)"
 
 
 @query(f"""WITH t AS (SELECT doc_id, i, CASE WHEN s < 20 + doc_id % 5 AND 3 < e THEN 1 WHEN s < 60 AND 40 < e THEN 2 ELSE 0 END AS o FROM {_TOK} t(doc_id, i, s, e)),
 p AS (SELECT *, lag(o) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM t)
 SELECT doc_id, i::INT AS i, CASE WHEN o = 0 THEN 0 WHEN b = o THEN 2 + 2 * (o - 1) ELSE 1 + 2 * (o - 1) END::INT AS tag FROM p""")
 def span_overlap_tags(spark, d):
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct((i * 6).cast("long").alias("start"), (i * 6 + 5).cast("long").alias("end")))
+    """Tokens are the whole text in steps of six characters."""
+    n = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 6)
+    steps = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    tokens = F.transform(steps, lambda i: F.struct((i * 6).cast("long").alias("start"), (i * 6 + 5).cast("long").alias("end")))
     s = F.array(F.struct(F.lit(3).cast("long").alias("start"), (20 + F.col("doc_id") % 5).alias("end"), F.lit(0).alias("type")), F.struct(F.lit(40).cast("long").alias("start"), F.lit(60).cast("long").alias("end"), F.lit(1).alias("type")))
     return _t(spark, d, "documents").select("doc_id", F.posexplode(spans.tag_tokens(tokens, s)).alias("i", "tag"))
 
@@ -484,12 +488,12 @@ def byte_spans(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.byte_span(F.col("text"), F.lit(0), end).alias("span"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("""SELECT item_id, upper(replace(text, 'ß', 'ss')) AS up, lower(text) AS low, base64(encode(text)) AS b64, lower(hex(encode(text))) AS hex,
+@query("""SELECT item_id, replace(upper(replace(text, 'ß', chr(64976))), chr(64976), 'ß') AS up, lower(text) AS low, base64(encode(text)) AS b64, lower(hex(encode(text))) AS hex,
 translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rot13,
-substr(regexp_replace(text, '([^ ])', ' \\1', 'g'), CASE WHEN left(text, 1) = ' ' THEN 1 ELSE 2 END) AS spaced, translate(text, 'aeiost', '431057') AS leet, CASE WHEN length(text) > 50 THEN left(text, 50) || ' […]' ELSE text END AS clipped FROM benchmark""")
+substr(regexp_replace(text, '([^ ])', ' \\1', 'g'), CASE WHEN left(text, 1) = ' ' THEN 1 ELSE 2 END) AS spaced, translate(text, 'aeiostAEIOST', '431057431057') AS leet, translate(text, 'aceopxyACEOP', 'асеорхуАСЕОР') AS homoglyph, CASE WHEN length(text) > 50 THEN left(text, 50) || ' […]' ELSE text END AS clipped FROM benchmark""")
 def text_transforms(spark, d):
     x, c = T.TRANSFORMS, F.col("text")
-    return _t(spark, d, "benchmark").select("item_id", x["upper"](F.replace(c, F.lit("ß"), F.lit("ss"))).alias("up"), x["lower"](c).alias("low"), x["base64"](c).alias("b64"), x["hex"](c).alias("hex"), x["rot13"](c).alias("rot13"), x["spaced"](c).alias("spaced"), x["leet"](c).alias("leet"), T.clipped(c, 50).alias("clipped"))
+    return _t(spark, d, "benchmark").select("item_id", x["upper"](c).alias("up"), x["lower"](c).alias("low"), x["base64"](c).alias("b64"), x["hex"](c).alias("hex"), x["rot13"](c).alias("rot13"), x["spaced"](c).alias("spaced"), x["leet"](c).alias("leet"), x["homoglyph"](c).alias("homoglyph"), T.clipped(c, 50).alias("clipped"))
 
 
 @query("""SELECT source, regexp_matches(source, '^src1[^/]*$') AS matches FROM documents GROUP BY source""")
@@ -551,3 +555,197 @@ def head_on_frozen_vectors(spark, d):
 def calibrated_temperature(spark, d):
     t = decide.calibrate(_scored(spark, d))
     return spark.createDataFrame([(t,)], "temperature double")
+
+
+# ---- examples against a schema, evaluation, requests, windows, tokens
+
+_QUESTIONS = [schema.noul("toxic"), schema.choice("lang", "", "de", "en", "es", "fr"), schema.score("level", "", "low", "high", "top")]
+_LABELS = """(SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN '0.25' WHEN 2 THEN '"0.5"' END AS a,
+CASE event_id % 5 WHEN 0 THEN '"en"' WHEN 1 THEN '{"en":1,"fr":3}' WHEN 2 THEN '"xx"' END AS b, CASE event_id % 3 WHEN 0 THEN '"high"' WHEN 1 THEN '2' ELSE '1.5' END AS c FROM events)"""
+
+
+def _labelled(spark, d):
+    i = F.col("event_id")
+    a = F.when(i % 4 == 0, "true").when(i % 4 == 1, "0.25").when(i % 4 == 2, '"0.5"').otherwise("null")
+    b = F.when(i % 5 == 0, '"en"').when(i % 5 == 1, '{"en":1,"fr":3}').when(i % 5 == 2, '"xx"').otherwise("null")
+    c = F.when(i % 3 == 0, '"high"').when(i % 3 == 1, "2").otherwise("1.5")
+    text = F.concat(F.lit('{"toxic":'), a, F.lit(',"lang":'), b, F.lit(',"level":'), c, F.lit("}"))
+    return _t(spark, d, "events").select(i.alias("ex_id"), F.parse_json(text).alias("labels"))
+
+
+@query(f"""WITH l AS {_LABELS}
+SELECT event_id AS ex_id, 'toxic' AS question, a IS NOT NULL AS labelled, CASE a WHEN 'true' THEN '1.0' WHEN '0.25' THEN '0.25' END AS target FROM l
+UNION ALL SELECT event_id, 'lang', b IS NOT NULL, CASE event_id % 5 WHEN 0 THEN '0.0,1.0,0.0,0.0' WHEN 1 THEN '0.0,0.25,0.0,0.75' END FROM l
+UNION ALL SELECT event_id, 'level', true, CASE event_id % 3 WHEN 0 THEN '1.0' WHEN 1 THEN '2.0' END FROM l""")
+def example_targets(spark, d):
+    out = labelled.example_targets(_labelled(spark, d), _QUESTIONS)
+    return out.select("ex_id", "question", "labelled", F.array_join(F.col("target").cast("array<string>"), ",").alias("target"))
+
+
+@query(f"""SELECT event_id AS ex_id, (CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END)::INT AS toxic,
+(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE -1 END)::INT AS lang, (CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE -1 END)::INT AS level FROM {_LABELS}""")
+def option_index(spark, d):
+    of = {"toxic": ["yes", "no"], "lang": _QUESTIONS[1].options, "level": _QUESTIONS[2].options}
+    return _labelled(spark, d).select("ex_id", *[labelled.option_index(labelled.label_of(F.col("labels"), q.name), q.kind, of[q.name]).alias(q.name) for q in _QUESTIONS])
+
+
+@query(f"SELECT event_id AS ex_id, a IS NOT NULL AND b IS NOT NULL AS complete FROM {_LABELS}")
+def complete_labels(spark, d):
+    return _labelled(spark, d).select("ex_id", labelled.complete(F.col("labels"), _QUESTIONS).alias("complete"))
+
+
+@query("SELECT event_id, ['first', 'second', 'third'][event_id % 3 + 1] AS instruction FROM events")
+def instruction_round_robin(spark, d):
+    return labelled.round_robin(_t(spark, d, "events").select("event_id"), ["first", "second", "third"], "event_id")
+
+
+@query("""WITH w AS (SELECT c_mktsegment AS value, count(*)::DOUBLE AS weight FROM customer GROUP BY 1), s AS (SELECT value, pow(weight, 0.5) AS weight FROM w WHERE value > 'B')
+SELECT value, round(weight, 6) AS weight, round(sum(weight) OVER (ORDER BY value), 6) AS cum FROM s""")
+def gazetteer_subset(spark, d):
+    w = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").cast("double").alias("weight"))
+    return labelled.subset(data.gazetteer(w, 0.5), F.col("value") > "B").select("value", _r("weight").alias("weight"), _r("cum").alias("cum"))
+
+
+@query("SELECT count(*) AS requested, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events")
+def status_counts(spark, d):
+    return labelled.status_counts(_t(spark, d, "events"), "event_type", ["click", "view"])
+
+
+@query("""WITH c AS (SELECT event_type AS key, event_id AS n, user_id::VARCHAR AS response FROM events)
+SELECT key, arg_min(response, n) AS first, arg_max(response, n) AS last FROM c GROUP BY key""")
+def response_cache(spark, d):
+    c = _t(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("n"), F.col("user_id").cast("string").alias("response"))
+    first = labelled.merged_cache(c.where("false"), c).withColumnRenamed("response", "first")
+    return first.join(labelled.loaded_cache(c).withColumnRenamed("response", "last"), "key")
+
+
+@query("""WITH v AS (SELECT doc_id AS ex_id, t AS teacher, ((doc_id * 7 + t * 3) % 10) / 10.0 AS p FROM (SELECT doc_id FROM documents), (SELECT unnest([0, 1]) AS t)),
+m AS (SELECT ex_id, min((p >= 0.5)::INT) AS lo, max((p >= 0.5)::INT) AS hi FROM v GROUP BY 1)
+SELECT count(*) AS examples, sum((lo <> hi)::INT)::BIGINT AS disputed FROM m""")
+def consensus_disputes(spark, d):
+    v = _t(spark, d, "documents").select(F.col("doc_id").alias("ex_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("teacher"))
+    v = v.withColumn("p", (F.col("ex_id") * 7 + F.col("teacher") * 3) % 10 / 10.0).withColumn("label", F.lit(None).cast("int"))
+    return C.noul_consensus(v, 2).agg(F.count("*").alias("examples"), F.count_if(F.col("state") == "disputed").alias("disputed"))
+
+
+_EVAL = """WITH e AS (SELECT l_orderkey, [l_quantity::DOUBLE * 0.1037, l_discount::DOUBLE * 31.3, l_tax::DOUBLE * 41.7] AS z, ['N', 'A', 'R'] AS o, l_returnflag, row_number() OVER () AS rid FROM lineitem),
+x AS (SELECT rid, l_returnflag, unnest(z) AS z, unnest(o) AS o, generate_subscripts(z, 1) AS i FROM e),
+p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY rid) AS p, row_number() OVER (PARTITION BY rid ORDER BY z DESC, i) AS r FROM x),
+a AS (SELECT rid, l_returnflag AS gold, max(CASE WHEN r = 1 THEN o END) AS found, max(p) AS conf, max(CASE WHEN o = l_returnflag THEN p END) AS own FROM p GROUP BY ALL),
+b AS (SELECT count(*) AS n, avg(conf) AS c, avg((gold = found)::INT) AS ok FROM a GROUP BY least(floor(conf * 10), 9)),
+f AS (SELECT o, (SELECT count(*) FROM a WHERE gold = o) AS g, (SELECT count(*) FROM a WHERE found = o) AS k, (SELECT count(*) FROM a WHERE found = o AND gold = o) AS tp FROM (SELECT DISTINCT gold AS o FROM a))
+SELECT count(*) AS n, round(avg((gold = found)::INT), 6) AS accuracy, round(avg(-ln(own)), 6) AS nll, (SELECT round(sum(n * abs(c - ok)) / sum(n), 6) FROM b) AS ece,
+(SELECT round(avg(coalesce(2.0::DOUBLE * tp / nullif(g + k, 0), 0)), 6) FROM f) AS macro_f1 FROM a"""
+
+
+@query(_EVAL)
+def evaluate_choice(spark, d):
+    z = F.array(*[F.col(c).cast("double") * f for c, f in (("l_quantity", 0.1037), ("l_discount", 31.3), ("l_tax", 41.7))])
+    t = F.transform(F.array(*map(F.lit, "NAR")), lambda o: (F.col("l_returnflag") == o).cast("double"))
+    rows = _t(spark, d, "lineitem").select(F.lit("flag").alias("question"), z.alias("z"), t.alias("t"))
+    m = evaluate.evaluate(rows, [schema.choice("flag", "", "N", "A", "R")])
+    return m.select("n", *[_r(c).alias(c) for c in ("accuracy", "nll", "ece", "macro_f1")])
+
+
+@query("""WITH e AS (SELECT (left(o_orderpriority, 1)::INT - 1) % 3 AS y, 1 / (1 + exp(-(o_totalprice / 100000 - 1))) AS a, 1 / (1 + exp(-(o_totalprice / 200000 - 1))) AS b, o_totalprice / 100000 - 1 AS za, o_totalprice / 200000 - 1 AS zb FROM orders),
+g AS (SELECT *, [1 - a, a - least(a, b), least(a, b)] AS p FROM e),
+s AS (SELECT y, p[2] + 2 * p[3] AS score, list_position(p, list_max(p)) - 1 AS level, ln(1 + exp(za)) - CASE WHEN y > 0 THEN za ELSE 0 END + ln(1 + exp(zb)) - CASE WHEN y > 1 THEN zb ELSE 0 END AS loss FROM g)
+SELECT count(*) AS n, round(avg((level = y)::INT), 6) AS accuracy, round(avg(abs(score - y)), 6) AS mae, round(avg(loss), 6) AS nll FROM s""")
+def evaluate_score(spark, d):
+    price = F.col("o_totalprice").cast("double")
+    y = ((F.substring("o_orderpriority", 1, 1).cast("int") - 1) % 3).cast("double")
+    rows = _t(spark, d, "orders").select(F.lit("s").alias("question"), F.array(price / 100000 - 1, price / 200000 - 1).alias("z"), F.array(y).alias("t"))
+    return evaluate.evaluate(rows, [schema.score("s", "", "a", "b", "c")]).select("n", *[_r(c).alias(c) for c in ("accuracy", "mae", "nll")])
+
+
+@query("""WITH t AS (SELECT event_id, (event_id % 6 - 1)::INT AS tag, [value / 50, (event_id % 7) / 3.0, 1.0, 0.5, (event_id % 3)::DOUBLE] AS z FROM events),
+x AS (SELECT event_id, tag, unnest(z) AS z, generate_subscripts(z, 1) - 1 AS i FROM t WHERE tag >= 0),
+p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY event_id) AS p, row_number() OVER (PARTITION BY event_id ORDER BY z DESC, i) AS r FROM x)
+SELECT count(*) FILTER (i = 0) AS n, round(sum((r = 1 AND i = tag)::INT) / count(*) FILTER (i = 0), 6) AS accuracy, round(sum(CASE WHEN i = tag THEN -ln(p) END) / count(*) FILTER (i = 0), 6) AS nll FROM p""")
+def token_metrics(spark, d):
+    z = F.array(F.col("value").cast("double") / 50, F.col("event_id") % 7 / 3.0, F.lit(1.0), F.lit(0.5), (F.col("event_id") % 3).cast("double"))
+    m = evaluate.token_metrics(_t(spark, d, "events").select(z.alias("z"), (F.col("event_id") % 6 - 1).cast("int").alias("tag")))
+    return m.select("n", _r("accuracy").alias("accuracy"), _r("nll").alias("nll"))
+
+
+@query("""WITH x AS (SELECT c_custkey // 16 AS batch, c_custkey AS query_id FROM customer), p AS (SELECT a.batch, a.query_id, b.query_id AS candidate, ((a.query_id * 13 + b.query_id * 7) % 11) / 4.0::DOUBLE AS z, a.query_id = b.query_id AS positive,
+a.query_id <> b.query_id AND (a.query_id + b.query_id) % 5 = 0 AS masked FROM x a JOIN x b USING (batch)),
+q AS (SELECT batch, query_id, ln(sum(exp(z))) - max(CASE WHEN positive THEN z END) AS loss FROM p WHERE NOT masked GROUP BY ALL),
+r AS (SELECT batch, candidate, ln(sum(exp(z))) - max(CASE WHEN positive THEN z END) AS loss FROM p WHERE NOT masked GROUP BY ALL)
+SELECT batch, round((a + b) / 2, 6) AS loss FROM (SELECT batch, avg(loss) AS a FROM q GROUP BY 1) JOIN (SELECT batch, avg(loss) AS b FROM r GROUP BY 1) USING (batch)""")
+def info_nce(spark, d):
+    x = _t(spark, d, "customer").select(F.floor(F.col("c_custkey") / 16).alias("batch"), F.col("c_custkey").alias("query_id"))
+    pairs = x.join(x.select("batch", F.col("query_id").alias("candidate")), "batch")
+    same = F.col("query_id") == F.col("candidate")
+    pairs = pairs.withColumns({"z": (F.col("query_id") * 13 + F.col("candidate") * 7) % 11 / 4.0, "positive": same, "masked": ~same & ((F.col("query_id") + F.col("candidate")) % 5 == 0)})
+    return evaluate.info_nce(pairs, symmetric=True).select("batch", _r("loss").alias("loss"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, i, length(text) * (i + 1) % 17 AS v FROM conversations, (SELECT unnest(range(3)) AS i)) SELECT conv_id, i::INT AS i, round(avg(v), 6) AS x FROM x GROUP BY ALL""")
+def mean_pooling(spark, d):
+    row = F.array(*[(F.char_length("text") * (i + 1) % 17).cast("double") for i in range(3)])
+    pooled = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(row).alias("rows"))
+    return pooled.select("conv_id", F.posexplode(evaluate.mean_pool(F.col("rows"))).alias("i", "x")).select("conv_id", "i", _r("x").alias("x"))
+
+
+@query("""WITH m AS (SELECT vec_id, label, avg(x) AS x FROM (SELECT vec_id, label, pow(unnest(embedding)::DOUBLE - 0.1, 2) AS x FROM embeddings) GROUP BY ALL) SELECT vec_id, round(x, 6) AS mse FROM m""")
+def hidden_mse(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return _t(spark, d, "embeddings").select("vec_id", _r(evaluate.hidden_mse(x, F.transform(x, lambda v: F.lit(0.1)))).alias("mse"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE '{"n":' || turn || ',"text":"a"}' END AS text, CASE WHEN turn % 3 = 1 THEN role ELSE '' END AS context FROM conversations""")
+def state_inputs(spark, d):
+    c = _t(spark, d, "conversations")
+    quoted = F.get_json_object(F.to_json(F.struct("text")), "$")
+    raw = F.when(F.col("turn") % 3 == 0, F.regexp_extract(quoted, r'^\{"text":(.*)\}$', 1)).when(F.col("turn") % 3 == 1, F.to_json(F.struct("text", F.col("role").alias("context")))).otherwise(F.concat(F.lit('{"text": "a", "n": '), F.col("turn").cast("string"), F.lit("}")))
+    return c.select("conv_id", "turn", requests.state_input(raw).alias("i")).select("conv_id", "turn", "i.text", "i.context")
+
+
+@query("""SELECT event_type AS question, count(*) AS n, CASE event_type WHEN 'click' THEN 'learned' WHEN 'view' THEN 'refused' ELSE 'open' END AS route FROM events GROUP BY 1""")
+def route_questions(spark, d):
+    qs = schema.frame(spark, [schema.noul("click"), schema.choice("view", "", "a", "b")])
+    asked = _t(spark, d, "events").select(F.col("event_type").alias("question"), F.when(F.col("event_type") == "view", "choice").otherwise("noul").alias("kind"), F.when(F.col("event_type") == "view", F.array(F.lit("c"))).otherwise(F.array().cast("array<string>")).alias("options"))
+    return requests.routed(asked, qs).groupBy("question", "route").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, sum(length(text))::BIGINT AS prompt_tokens, sum(length(text))::BIGINT AS total_tokens FROM conversations GROUP BY 1")
+def usage_sums(spark, d):
+    return requests.usage(_t(spark, d, "conversations").withColumn("n_tokens", F.char_length("text").cast("long")), by="conv_id")
+
+
+@query("""SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE))::DECIMAL(18,4)::DOUBLE AS total, (4 * len(embedding) + 2) // 3 * 4 AS size FROM embeddings""")
+def vectors_base64(spark, d):
+    text = requests.floats_base64(F.col("embedding"))
+    v = _t(spark, d, "embeddings").select("vec_id", text.alias("b")).withColumn("back", requests.base64_floats(F.col("b")))
+    total = F.aggregate("back", F.lit(0.0), lambda s, x: s + x.cast("double")).cast("decimal(18,4)").cast("double")
+    return v.select("vec_id", total.alias("total"), F.char_length("b").cast("long").alias("size"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n, CASE WHEN len(w) <= 64 THEN 1 ELSE ceil(len(w) / 48.0)::BIGINT END AS k FROM w),
+i AS (SELECT *, unnest(range(k)) AS i FROM n), s AS (SELECT *, (i * n) // k AS lo, ((i + 1) * n) // k AS hi, CASE WHEN k = 1 THEN 0 ELSE 8 END AS m FROM i)
+SELECT doc_id, i::INT AS w_idx, (least(hi + m, n) - greatest(lo - m, 0) + 2)::INT AS size, (lo - greatest(lo - m, 0) + 1)::INT AS keep_from, (hi - greatest(lo - m, 0) + 1)::INT AS keep_to FROM s""")
+def cut_windows(spark, d):
+    """Tokens are the words of the whole text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    ids = F.transform(words, lambda w: F.char_length(w))
+    w = windows.cut(_t(spark, d, "documents").select("doc_id", ids.alias("ids")), "doc_id", "ids", 64, 8, [-1], [-2])
+    return w.select("doc_id", "w_idx", F.size("ids").alias("size"), "keep_from", "keep_to")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, len(w)::INT AS n, md5(array_to_string(list_transform(w, lambda x: length(x)), ',')) AS digest FROM w""")
+def joined_windows(spark, d):
+    """What windows keep is the whole sequence again."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    w = windows.cut(_t(spark, d, "documents").select("doc_id", F.transform(words, lambda w: F.char_length(w)).alias("ids")), "doc_id", "ids", 64, 8, [-1], [-2])
+    out = windows.joined(w, "doc_id", "ids")
+    return out.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
+@query()
+def token_counts(spark, d):
+    import public_tokenizers
+
+    return _t(spark, d, "documents").select("doc_id", tokens.n_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# White space of Unicode.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 EXAMPLE = "context string, text string, labels variant, family string, split string, meta map<string,string>"
 
 
@@ -20,16 +22,22 @@ def write_examples(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
 
 
+def stripped(value: Column) -> Column:
+    """Without white space at both ends, tabs and line ends included."""
+    return F.btrim(value, F.lit(SPACE))
+
+
 def line_inputs(value: Column) -> Column:
     """(text, context) of a plain or JSON line: a line that starts with { and has a text parses, any other is the text."""
-    parsed = F.from_json(F.trim(value), "text string, context string")
-    is_json = F.trim(value).startswith("{") & (F.coalesce(parsed["text"], F.lit("")) != "")
-    return F.struct(F.when(is_json, parsed["text"]).otherwise(F.trim(value)).alias("text"), F.when(is_json, F.coalesce(parsed["context"], F.lit(""))).otherwise("").alias("context"))
+    line = stripped(value)
+    parsed = F.from_json(line, "text string, context string")
+    is_json = line.startswith("{") & (F.coalesce(parsed["text"], F.lit("")) != "")
+    return F.struct(F.when(is_json, parsed["text"]).otherwise(line).alias("text"), F.when(is_json, F.coalesce(parsed["context"], F.lit(""))).otherwise("").alias("context"))
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Prediction inputs; blank lines are skipped."""
-    return spark.read.text(list(paths)).where(F.trim("value") != "").select(line_inputs(F.col("value")).alias("i")).select("i.*")
+    return spark.read.text(list(paths)).where(stripped(F.col("value")) != "").select(line_inputs(F.col("value")).alias("i")).select("i.*")
 
 
 def read_embedding_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -40,15 +48,15 @@ def read_embedding_lines(spark: SparkSession, *paths: str) -> DataFrame:
     blocks = lines.groupBy(*place).agg(F.count("*").alias("n"), F.min("m").alias("least"))
     blocks = blocks.select(*place, "least", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(*place)) - F.col("n")).alias("before"))
     number = F.col("before") + F.col("m") - F.col("least")
-    is_json = F.trim("value").startswith("{")
-    parsed = F.from_json(F.when(is_json, F.trim("value")), "id string, text string", {"mode": "FAILFAST"})
+    is_json = stripped(F.col("value")).startswith("{")
+    parsed = F.from_json(F.when(is_json, stripped(F.col("value"))), "id string, text string", {"mode": "FAILFAST"})
     return lines.join(blocks, place).select(F.coalesce(parsed["id"], number.cast("string")).alias("id"), F.when(is_json, F.coalesce(parsed["text"], F.lit(""))).otherwise(F.col("value")).alias("text"))
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """(value, weight, metadata): tab-separated, # starts a comment, a missing weight is 1."""
     part = F.split("value", "\t")
-    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    rows = spark.read.text(path).where((stripped(F.col("value")) != "") & ~F.col("value").startswith("#"))
     weight = F.coalesce(F.get(part, F.lit(1)).try_cast("double"), F.lit(1.0))
     return rows.select(F.get(part, F.lit(0)).alias("value"), weight.alias("weight"), F.from_json(F.get(part, F.lit(2)), "map<string,string>").alias("metadata"))
 
