@@ -60,22 +60,23 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of the edges (a, b); the component is its smallest id.
 
-    Alternating large-star and small-star rounds, each with tables in the shared folder: the
-    edges shrink to stars in a number of rounds that is logarithmic in practice. Both sides
-    of a join are tables, so that the many edges of a star's centre split under adaptive
-    execution. Nulls must not occur. No edge: an empty result.
+    Alternating large-star and small-star rounds, each with its edges as a table in the
+    shared folder: they shrink to stars in a number of rounds that is logarithmic in
+    practice. The least neighbours are a table as well, so that the many edges of a star's
+    centre, which are joined to it, split under adaptive execution. Nulls must not occur.
+    No edge: an empty result.
     """
     edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     was, now = None, digest(edges)
     while now[0] and now != was:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = table(edges.select(F.col("v").alias("c"), "u").join(low.withColumnRenamed("u", "c"), "c").select("u", F.col("m").alias("v")).distinct(), "large")
-        small_low = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_low.select("u", F.col("m").alias("v"))).distinct()
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "least")
+        large = edges.select(F.col("v").alias("c"), "u").join(least, "c").select("u", F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = table(small, "edges")
-        for gone in (edges, low, large, small_low):
+        for gone in (edges, least):
             drop_table(gone)
         edges, was, now = new, now, digest(new)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -4,7 +4,8 @@ Unit vectors are dealt to coarse inverted lists; what is left after the list's c
 cut into subspaces and each part replaced by the nearest of 256 codewords. A query reads
 its distances to codes from a table, over all lists that can hold a neighbour: a vector
 nearer than r to the query lies in list c only if the query is no further than r beyond the
-plane between c and its own centre. A code's distance is off by at most the length of what
+plane between c and its own centre. Of the lists of two vectors the lower one's vector asks, so
+a pair of lists is read once. A code's distance is off by at most the length of what
 the code leaves out, which is stored, so nothing within r is lost; what passes is compared
 by cosine in double precision.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._shared import components, table
+from ._shared import components, small_batches, table
 
 LINK = 0.98
 #: Vectors to fit on, at most; vectors a list on average; subspaces; rows in a block.
@@ -72,10 +73,10 @@ class Quantizer:
     def near(self, q: np.ndarray, home: int, codes: np.ndarray, left_out: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, entry) of one list that the codes do not put beyond r."""
         rest = q - self.centres[home]
-        d = np.zeros((len(q), len(codes)))
+        d = np.zeros((len(q), len(codes)), np.float32)
         for i, (c, w) in enumerate(zip(self.cuts, self.words)):
-            d += np.maximum(_square(rest[:, c], w), 0)[:, codes[:, i]]
-        return np.nonzero(np.sqrt(d) <= r + left_out[None] + 1e-6)
+            d += np.maximum(_square(rest[:, c], w), 0).astype(np.float32)[:, codes[:, i]]
+        return np.nonzero(d <= ((r + left_out + 1e-3) ** 2).astype(np.float32)[None])  # the tables are rounded
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,6 +105,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / top / np.sqrt(((x / top) ** 2).sum())
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A vector as bytes: of 32-bit numbers where they are the same."""
+    small = x.astype("<f4")
+    return b"4" + small.tobytes() if (small == x).all() else b"8" + x.astype("<f8").tobytes()
+
+
+def _plain(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v, "<f" + v[:1].decode(), offset=1).astype(float) for v in column.to_pylist()]
+
+
 def _keys(batches):
     import hashlib
 
@@ -115,6 +126,7 @@ def _keys(batches):
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", link: float = LINK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     keyed = rows.mapInArrow(_keys, f"vec_id {kinds['vec_id']}, v array<double>, label {kinds['label']}, key binary")
@@ -138,37 +150,37 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         q = shared.value
         for batch in batches:
             x = [_unit(v) for v in _matrix(batch.column(1))]
+            packed = pa.array([_packed(v) for v in _matrix(batch.column(1))], pa.binary())
             home, codes, left, probes = [-1] * len(x), [None] * len(x), [0.0] * len(x), [None] * len(x)
             at = [i for i, v in enumerate(x) if len(v) == q.dim]
             if at:
                 m = np.stack([x[i] for i in at])
                 h, c, e = q.encode(m)
                 for i, hi, ci, ei, p in zip(at, h.tolist(), c, e.tolist(), q.probes(m, h, r)):
-                    home[i], codes[i], left[i], probes[i] = hi, ci.tobytes(), ei, p.tolist()
+                    home[i], codes[i], left[i], probes[i] = hi, ci.tobytes(), ei, p[p >= hi].tolist()
             for i, v in enumerate(x):
                 if probes[i] is None:
                     home[i] = -len(v)
                     probes[i], codes[i] = [home[i]], b""
-            yield pa.record_batch([*batch.columns, pa.array(home, pa.int32()), pa.array(codes, pa.binary()), pa.array(left, pa.float64()), pa.array(probes, pa.list_(pa.int32()))], ["key", "v", "label", "copies", "home", "codes", "left_out", "probes"])
+            yield pa.record_batch([batch.column(0), packed, batch.column(2), batch.column(3), pa.array(home, pa.int32()), pa.array(codes, pa.binary()), pa.array(left, pa.float64()), pa.array(probes, pa.list_(pa.int32()))], ["key", "v", "label", "copies", "home", "codes", "left_out", "probes"])
 
-    index = entries.select("key", "v", "label", "copies").mapInArrow(assign, f"key binary, v array<double>, label {kinds['label']}, copies bigint, home int, codes binary, left_out double, probes array<int>")
+    index = entries.select("key", "v", "label", "copies").mapInArrow(assign, f"key binary, v binary, label {kinds['label']}, copies bigint, home int, codes binary, left_out double, probes array<int>")
     index = table(index, "index")
     sizes = index.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    asks = index.select("label", F.explode("probes").alias("list"), "key", "v")
+    asks = index.select("label", F.explode("probes").alias("list"), "home", "key", "v", "copies")
     asked = asks.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"))
     sizes = table(sizes.join(asked, ["label", "list"]), "list-sizes")
     part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    base = index.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).select("label", "list", part("nb").alias("i"), F.explode_outer(F.expr("sequence(0, nq - 1)")).alias("j"), F.lit(False).alias("query"), "key", "v", "copies", "codes", "left_out")
-    asks = asks.join(sizes, ["label", "list"]).select("label", "list", F.explode_outer(F.expr("sequence(0, nb - 1)")).alias("i"), part("nq").alias("j"), F.lit(True).alias("query"), "key", "v", F.lit(0).cast("long").alias("copies"), F.lit(b"").alias("codes"), F.lit(0.0).alias("left_out"))
+    base = index.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).select("label", "list", part("nb").alias("i"), F.explode_outer(F.expr("sequence(0, nq - 1)")).alias("j"), F.lit(0).alias("query"), "key", "v", "copies", "codes", "left_out")
+    asks = asks.join(sizes, ["label", "list"]).select("label", "list", F.explode_outer(F.expr("sequence(0, nb - 1)")).alias("i"), part("nq").alias("j"), F.when(F.col("home") == F.col("list"), 1).otherwise(2).alias("query"), "key", "v", "copies", F.lit(b"").alias("codes"), F.lit(0.0).alias("left_out"))
     names = ["label", "list", "i", "j"]
 
     def compare(batches):
         quantizer = shared.value
         for t in V.grouped(batches, names):
-            ask = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-            key = t.column("key").to_pylist()
-            x = np.stack(_matrix(t.column("v").combine_chunks()))
-            unit = np.stack([_unit(v) for v in x])
+            query = t.column("query").to_numpy()
+            ask, key = query > 0, t.column("key").to_pylist()
+            unit = np.stack([_unit(v) for v in _plain(t.column("v"))])
             q, b = np.flatnonzero(ask), np.flatnonzero(~ask)
             if not len(q) or not len(b):
                 continue
@@ -186,12 +198,14 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for k in key:
                 number.setdefault(k, len(number))
             who = np.array([number[k] for k in key])
+            foreign = query[q[p[keep]]] == 2
             p, s = who[q[p[keep]]], who[b[s[keep]]]
             weight = np.zeros(len(number), np.int64)
-            weight[who[b]] = copies[b]
+            weight[who] = copies
             fine = p != s
-            p, s = p[fine], s[fine]
+            p, s, foreign = p[fine], s[fine], foreign[fine]
             links = np.bincount(p, weight[s], len(number)).astype(np.int64)
+            links += np.bincount(s[foreign], weight[p[foreign]], len(number)).astype(np.int64)  # vectors of one list ask each other
             forest = V.Forest(len(number))
             for m, n in zip(p.tolist(), s.tolist()):
                 forest.union(m, n)

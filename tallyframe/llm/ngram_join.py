@@ -12,8 +12,8 @@ At a node with many sets, a leader, the set with the least hash of all there, is
 with each of them. A set within 0.3 of the leader need not go further: whatever is within
 0.2 of it is within 0.5 of the leader, by the triangle inequality of the Jaccard distance,
 and is linked to it there. (The estimate that stands for 0.3 is 0.18, three standard errors
-nearer.) The first run is a pilot of one tree: a set that it finds within 0.3 of a leader
-leaves the later runs for good, if that leader stays. So a large group of near copies takes
+nearer.) Before the runs goes the first level of a pilot tree: a set that it finds within 0.3
+of a leader leaves the runs for good, if that leader stays. So a large group of near copies takes
 steps in proportion to its size, in one tree. What still is together at the last level is
 compared in blocks.
 
@@ -44,12 +44,12 @@ from ._shared import components, drop_table, small_batches, table
 SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 4
 #: A pair at the threshold is missed at the first level of all trees with a smaller chance: a tree has no shared pick with 1/e at most.
 TARGET = 1e-5
-RUNS = int(np.ceil(-np.log(TARGET)))
+RUNS = int(np.ceil(-np.log(TARGET)))  # and the pilot
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
 KEEP, PROPOSE, SAME = 96, 0.5, 0.82
 #: Sets at a node that are compared all with all; sets in a block.
 SMALL, BLOCK = 128, 1024
-SEEDS = V.mix(np.arange(1, RUNS + 1, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
+SEEDS = V.mix(np.arange(1, RUNS + 2, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
 
 
 def chosen(tokens: np.ndarray, node: np.ndarray, branch: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -176,52 +176,55 @@ def _descend(level: int):
     return run
 
 
-def descend(rows: DataFrame, about: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """rows (node, fp) of the first level. The proposed pairs (a, b), and pairs (fp, leader) of sets that are as good as a leader."""
+def descend(rows: DataFrame, about: DataFrame, used: list[DataFrame], levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame]]:
+    """rows (node, fp) of the first level. The proposed pairs (a, b), and pairs (fp, leader) of sets that are as good as a leader. used: gets the tables that these read. levels: fewer than LEVELS leave large nodes at the leader."""
     edges, near = [], []
-    for level in range(1, LEVELS + 1):
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(table(df, name))
+        return used[-1]
+
+    for level in range(1, levels + 1):
         sized = rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig"), F.min_by("fp", F.xxhash64("fp")).alias("leader")).where("m > 1")
-        stats = table(sized, "nodes")
+        stats = kept(sized, "nodes")
         # nodes of the same sets, in whatever tree, are compared once
         once = stats.where(F.col("m") <= SMALL).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node")
         small = rows.join(once, "node").join(about, "fp").select("node", "fp", "n", "sketch").repartition("node").sortWithinPartitions("node")
-        edges.append(table(small.mapInArrow(_compare, "a binary, b binary"), "pairs"))
+        edges.append(small.mapInArrow(_compare, "a binary, b binary"))
         large = stats.where(F.col("m") > SMALL)
-        if not large.limit(1).count():
-            drop_table(stats)
+        if large.isEmpty():
             break
         lead = large.select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")
         down = rows.join(lead, "node").join(about, "fp").select("node", "fp", "n", "sketch", "leader", "ln", "lsketch")
-        down = table(down.mapInArrow(_descend(level), "node bigint, fp binary, leader binary, alike double, children array<bigint>"), "down")
-        drop_table(stats)
+        down = kept(down.mapInArrow(_descend(level), "node bigint, fp binary, leader binary, alike double, children array<bigint>"), "down")
         others = down.where(F.col("fp") != F.col("leader"))
         edges.append(others.where(F.col("alike") >= PROPOSE).select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct())
         near.append(others.where(F.col("alike") >= SAME).select("fp", "leader").distinct())
+        if level == levels < LEVELS:
+            break
         # where the leader is linked with all, they are one component already
         apart = down.groupBy("node").agg(F.min("alike").alias("least"), F.count_if(F.col("alike") < SAME).alias("m")).where(F.col("least") < PROPOSE).select("node", "m")
         on = down.where(F.col("alike") < SAME).join(apart, "node")
         if level < LEVELS:
-            rows = table(on.select(F.explode("children").alias("node"), "fp").distinct(), "rows")
+            rows = kept(on.select(F.explode("children").alias("node"), "fp").distinct(), "rows")
         else:
             rest = on.join(about, "fp").select("node", F.ceil(F.col("m") / BLOCK).alias("nb"), "fp", "n", (F.col("alike") >= PROPOSE).alias("known"), F.col("sketch").alias("payload"))
             edges.append(block_pairs(rest, "node").mapInArrow(_compare_blocks, "a binary, b binary"))
     return edges, near
 
 
-def propose(sets: DataFrame) -> DataFrame:
-    """sets: (fp, n, sketch, pilot, nodes), one row a class. The pairs (a, b) that link what the trees put together."""
+def propose(sets: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """sets: (fp, n, sketch, pilot, nodes), one row a class. The pairs (a, b) that link what the trees put together; `used` gets the tables that they are read from."""
     about = sets.select("fp", "n", "sketch")
-    edges, near = descend(sets.select(F.explode("pilot").alias("node"), "fp").distinct(), about)
-    left = sets
+    edges, near = descend(sets.select(F.explode("pilot").alias("node"), "fp").distinct(), about, used, 1)
+    left = sets.select("fp", "nodes")
     if near:
         like = near[0]
-        for more in near[1:]:
-            like = like.unionByName(more)
-        like = table(like, "near")
         # a leader that is itself near another one keeps its followers in the runs to come
         gone = like.join(like.select(F.col("fp").alias("leader")).distinct(), "leader", "left_anti").select("fp").distinct()
-        left = table(sets.select("fp", "nodes").join(gone, "fp", "left_anti"), "left")
-    edges += descend(left.select(F.explode("nodes").alias("node"), "fp").distinct(), about)[0]
+        left = table(left.join(gone, "fp", "left_anti"), "left")
+        used.append(left)
+    edges += descend(left.select(F.explode("nodes").alias("node"), "fp").distinct(), about, used)[0]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -314,7 +317,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = all_rows.where("fp IS NOT NULL")
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", "pilot", "nodes")]
     sets = table(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *firsts), "sets")
-    member = table(components(propose(sets)).withColumnRenamed("id", "fp"), "proposed")
+    used: list[DataFrame] = []
+    member = table(components(propose(sets, used)).withColumnRenamed("id", "fp"), "proposed")
+    for gone in used:
+        drop_table(gone)
     size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     member = member.join(size, "component").join(sets.select("fp", F.col("doc_id").alias("rep"), F.col("copies").alias("n")), "fp")
     # one row a class where ids do not repeat; of rows that repeat id and text any may stand for it

@@ -254,6 +254,29 @@ def test_embeddings(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near.get(i, ())), min(reach), i == min(reach))
 
 
+def test_embeddings_over_many_lists_and_blocks(spark, monkeypatch):
+    """More than one list, probes of other lists, and several blocks of a list, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "LIST", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 12))
+    x = np.concatenate([base[i % 60] + rng.normal(size=(1, 12)) * (0.02 + 0.2 * (i % 3)) for i in range(500)]).astype(np.float32)
+    x[::50] = x[7]
+    rows = [(i, [float(v) for v in x[i]], i % 2) for i in range(len(x))]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    near = (unit @ unit.T >= 0.98) & (np.arange(500)[:, None] % 2 == np.arange(500) % 2) & ~np.eye(500, dtype=bool)
+    assert 1000 < near.sum() < 20000
+    assert [got[i]["n_links"] for i in range(500)] == near.sum(1).tolist()
+    least = np.arange(500)
+    while True:
+        new = np.minimum(least, np.where(near, least[None], 500).min(1))
+        if (new == least).all():
+            break
+        least = new
+    assert [got[i]["component_id"] for i in range(500)] == least.tolist()
+
+
 def test_language(spark):
     en, fr = "the of and with that this from", "le la des une qui avec dans"
     texts = [" ".join(RND.choice((fr if i % 2 == 0 else en).split()) for _ in range(30)) for i in range(60)] + [None, "", "123 ...", (en + " ") * 5 + (fr + " ") * 2]
