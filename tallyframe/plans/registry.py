@@ -11,7 +11,7 @@ from ..functions import scalar as S
 from ..functions import text as T
 from ..functions import tokens
 from ..operators import consensus as C
-from ..operators import data, decide, evaluate, labelled, requests, schema, spans, training, windows
+from ..operators import data, decide, encoder, evaluate, labelled, requests, schema, spans, synth, training, windows
 from ..operators import open_mode as O
 from ..sources import examples as X
 from ..streaming import live
@@ -749,3 +749,23 @@ def token_counts(spark, d):
     import public_tokenizers
 
     return _t(spark, d, "documents").select("doc_id", tokens.n_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"))
+
+
+@query()
+def modernbert_embed(spark, d):
+    """Vectors of a small encoder with random weights: the path from texts through tokens to vectors, with no weights given."""
+    import public_tokenizers
+
+    config = encoder.Config(hidden_size=64, num_hidden_layers=4, num_attention_heads=4, intermediate_size=96, vocab_size=50_257)
+    model = encoder.Encoder(config, encoder.random_weights(config, 1))
+    return encoder.embed(_t(spark, d, "conversations").select("conv_id", "turn", "text"), "text", model, public_tokenizers.path("byte_bpe_50k.json"), "query: ").drop("text")
+
+
+@query()
+def synth_generate(spark, d):
+    """Examples from two templates, with values from the table of parts."""
+    brands = _t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy("p_brand").limit(1000).collect()  # brands are few
+    order = synth.parse_template("order", "family: shop/order\nlabel.urgent: false\n---\nPlease send {{int:2-90}} of {{pick:brand}}.{{include:shop/rush|p=0.3}}")
+    rush = synth.parse_template("rush", "family: shop/rush\nweight: 0\nlabel.urgent: true\n---\n {{one:Today|By noon}}!")
+    corpus = synth.Corpus([order, rush], {"brand": synth.Gazetteer([(r.p_brand, float(r.n)) for r in brands])})
+    return synth.synthesize(spark, corpus, 500, 3).withColumn("labels", F.to_json("labels"))
