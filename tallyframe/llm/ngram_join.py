@@ -48,7 +48,7 @@ RUNS = int(np.ceil(-np.log(TARGET)))  # and the pilot
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
 KEEP, PROPOSE, SAME = 96, 0.5, 0.82
 #: Sets at a node that are compared all with all; sets in a block.
-SMALL, BLOCK = 128, 1024
+SMALL, BLOCK = 1024, 1024
 SEEDS = V.mix(np.arange(1, RUNS + 2, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
 
 
@@ -89,9 +89,11 @@ def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
 
 def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], nr: np.ndarray) -> np.ndarray:
     """The same for all of left against all of right."""
-    values, number = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    m = np.zeros((len(left) + len(right), len(values)), np.float32)
-    m[np.repeat(np.arange(len(m)), [len(x) for x in [*left, *right]]), number] = 1
+    _, number, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]]), times > 1
+    keep = shared[number]
+    m = np.zeros((len(left) + len(right), int(shared.sum())), np.float32)
+    m[row[keep], (np.cumsum(shared) - 1)[number[keep]]] = 1
     common = m[: len(left)] @ m[len(left) :].T
     whole = lambda sets, n: np.array([x[-1] if k > len(x) else 1 << 32 for x, k in zip(sets, n)], np.int64)
     top = np.minimum.outer(whole(left, nl), whole(right, nr))
@@ -99,16 +101,24 @@ def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], n
     return common / np.maximum(up - common, 1)
 
 
-def _joins(fp: list, hits, known: np.ndarray) -> list[tuple]:
-    """Of the hits (pairs of places in fp) those that join what was apart; the known ones are together already."""
-    forest, out = V.Forest(len(fp)), []
-    for x in known[1:].tolist():
-        forest.union(int(known[0]), x)
-    for x, y in hits:
-        if forest.find(x) != forest.find(y):
-            forest.union(x, y)
-            out.append((fp[x], fp[y]))
-    return out
+def _stars(fp: list, x: np.ndarray, y: np.ndarray, known: np.ndarray) -> list[tuple]:
+    """The hits (pairs of places in fp) as stars around the first of what they join; the known ones are together already."""
+    label = np.arange(len(fp))
+    label[known] = known[:1]
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        if len(known):
+            new[known] = new[known].min()
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tell = label != np.arange(len(fp))
+    tell[known[1:]] = False
+    return [(fp[i], fp[label[i]]) for i in np.flatnonzero(tell).tolist()]
 
 
 def _edges(pairs: list[tuple]) -> pa.RecordBatch:
@@ -116,16 +126,15 @@ def _edges(pairs: list[tuple]) -> pa.RecordBatch:
 
 
 def _compare(batches):
-    """Sorted rows (node, fp, n, sketch) of whole small nodes -> a forest of the proposed pairs."""
+    """Sorted rows (node, fp, n, sketch) of whole small nodes -> stars of the proposed pairs."""
     for t in V.grouped(batches, ["node"]):
         fp, n = t.column("fp").to_pylist(), t.column("n").to_numpy()
         sets = [np.frombuffer(x, "<u4") for x in t.column("sketch").to_pylist()]
         if len(fp) == 2:
-            hit = [(0, 1)] if estimate(sets[0], n[0], sets[1], n[1]) >= PROPOSE else []
+            out = [(fp[1], fp[0])] if estimate(sets[0], n[0], sets[1], n[1]) >= PROPOSE else []
         else:
-            x, y = np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1))
-            hit = zip(x.tolist(), y.tolist())
-        if out := _joins(fp, hit, np.zeros(0, np.int64)):
+            out = _stars(fp, *np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1)), np.zeros(0, np.int64))
+        if out:
             yield _edges(out)
 
 
@@ -155,7 +164,7 @@ def _compare_blocks(batches):
         else:
             x, y = np.nonzero(estimates(sets[:many], n[:many], sets[many:], n[many:]) >= PROPOSE)
             y = y + many
-        if out := _joins(fp, zip(x.tolist(), y.tolist()), np.flatnonzero(known)):
+        if out := _stars(fp, x, y, np.flatnonzero(known)):
             yield _edges(out)
 
 
@@ -328,11 +337,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     within = texts.where("nb = 1").select("component", "fp", F.col("n").alias("copies"), "text").repartition("component").sortWithinPartitions("component")
     blocks = texts.where("nb > 1").mapInArrow(_as_sets, "component binary, nb bigint, fp binary, n bigint, known boolean, payload binary")
     blocks = blocks.groupBy("component", "nb", "fp", "n", "known").agg(F.first("payload").alias("payload"))
-    found = within.mapInArrow(_verify, "a binary, b binary, links bigint").unionByName(block_pairs(blocks, "component").mapInArrow(_verify_blocks, "a binary, b binary, links bigint"))
-    found = table(found, "links")
+    # a component that one task has seen whole is settled there; only those in blocks need their links joined
+    settled = table(within.mapInArrow(_verify, "a binary, b binary, links bigint"), "links")
+    parts = table(block_pairs(blocks, "component").mapInArrow(_verify_blocks, "a binary, b binary, links bigint"), "links")
     drop_table(texts)
-    links = found.groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    joined = components(found.select("a", "b")).withColumnRenamed("id", "fp").join(sets.select("fp", "doc_id"), "fp")
+    links = settled.unionByName(parts).groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
+    joined = settled.select(F.col("a").alias("fp"), F.col("b").alias("component")).unionByName(components(parts.select("a", "b")).withColumnRenamed("id", "fp"))
+    joined = joined.join(sets.select("fp", "doc_id"), "fp")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     joined = joined.join(least, "component").select("fp", "class_id")
     classes = sets.select("fp", F.col("doc_id").alias("own"), "copies").join(links, "fp", "left").join(joined, "fp", "left")
@@ -344,3 +355,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 9 * c >= 4 * (a.n + b.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT w.doc_id, class_id, (SELECT count(*) FROM links WHERE x = w.doc_id) AS n_links, coalesce(n.n, 0) AS n_shingles FROM w JOIN least ON w.doc_id = least.x LEFT JOIN n ON w.doc_id = n.doc_id
+"""
