@@ -3,8 +3,10 @@
 All rolling word k-grams of the corpus are hashed and joined to the positions of the
 k-grams of the templates (a fixed list); a match votes for the diagonal position minus
 template position. Votes are counted by diagonal, neighbouring diagonals (words put in or
-left out) are merged into one span, and a span counts if enough of its template is found.
-The join compares the words themselves besides the hash, so each vote is verified.
+left out) are merged into one span. The join compares the words themselves besides the hash,
+so each vote is verified; a span is verified by reading its votes in the order of the
+document: those count that go on in the order of the template, and a span is taken if they
+are enough of it.
 
 Cases: null and empty texts have no words; texts shorter than k words have no k-gram.
 Rows that repeat id and text come out as often as they came in. An empty table gives an
@@ -75,7 +77,7 @@ def doc_words(text: F.Column) -> F.Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.8) -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    min_share: the share of a template's k-grams that a merged span must hold to be counted.
+    min_share: the share of a template's k-grams that a merged span must hold, in order, to be counted.
     spans: array of (label, first_word, end_word, share). Votes move by document, after the
     join; a text that never matches moves as one row without its words.
     """
@@ -94,8 +96,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sh
     each = Window.partitionBy("doc_id", "h", "n", "t").orderBy("d")
     phrase = F.col("t").between(0, len(PHRASES) - 1)
     fresh = F.coalesce(phrase | (F.col("d") - F.lag("d").over(each) > GAP), F.lit(True))
-    merged = diagonal.withColumn("part", F.sum(fresh.cast("int")).over(each)).groupBy("doc_id", "h", "n", "t", "part").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("d").alias("d"), F.max("copies").alias("copies"))
-    share = F.when(F.col("t") < 0, F.lit(-1.0)).otherwise(F.size("hit") / F.when(F.col("t") >= 0, size))
+    merged = diagonal.withColumn("part", F.sum(fresh.cast("int")).over(each)).groupBy("doc_id", "h", "n", "t", "part").agg(F.collect_list(F.struct("d", "hit")).alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("d").alias("d"), F.max("copies").alias("copies"))
+    in_order = F.expr("""aggregate(array_sort(flatten(transform(parts, p -> transform(p.hit, x -> struct(x + p.d AS pos, x AS tpos))))),
+        named_struct('last', -1, 'n', 0), (a, x) -> CASE WHEN x.tpos > a.last THEN named_struct('last', x.tpos, 'n', a.n + 1) ELSE a END, a -> a.n)""")
+    share = F.when(F.col("t") < 0, F.lit(-1.0)).otherwise(in_order / F.when(F.col("t") >= 0, size))
     span = F.struct("t", F.when(phrase, F.col("d")).otherwise(F.col("lo")).alias("first_word"), (F.col("hi") + K).alias("end_word"), F.round(share, 6).alias("share"))
     spans = merged.withColumn("span", span).groupBy("doc_id", "h", "n").agg(F.collect_list(F.when((F.col("t") >= 0), F.col("span"))).alias("all"), F.max(F.when(F.col("t") < 0, F.col("copies"))).alias("copies"))
     names = "array(" + ",".join(f"'{label}'" for label, _, _ in kinds) + ")"

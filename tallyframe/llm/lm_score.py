@@ -7,7 +7,10 @@ about BLOCK bytes by a hash; each block sends its distinct events and their coun
 of the key. A part adds up the counts of its events and answers each block with those of
 the block's events, in their order. A second pass over a block scores each document by the
 mean over its tokens of loss under the target model minus loss under the background model.
-Lower: more like the target. Blocks and parts grow in number with the texts, not in size.
+Lower: more like the target. Both models are made alike: the same smoothing and mixture over
+the same vocabulary, to which the end of a text belongs as a successor, so that a word's count
+is that of all its successors and an estimate sums to one. A model that has counted the very
+token that it scores leaves it out. Blocks and parts grow in number with the texts, not in size.
 
 Cases: null and empty texts have no tokens and a null score; an empty target or background
 has the uniform model, as have words in neither corpus, which share one more entry. Rows are
@@ -176,8 +179,8 @@ def answer(rows: pa.Table) -> pa.Table:
 
 
 def losses(n1: np.ndarray, n2: np.ndarray, inner: np.ndarray, total: int, words: int, own: int = 0) -> np.ndarray:
-    """Of each token, in nats. n1, n2: counts of its word and bigram. own: 1 if the model has counted the very token, which is then taken off its bigram."""
-    p1 = (n1 + PRIOR) / (total + PRIOR * (words + 1))
+    """Of each token, in nats. n1, n2: counts of its word and bigram. own: 1 if the model has counted the very token, which is then taken off all counts."""
+    p1 = (n1 - own + PRIOR) / (total - own + PRIOR * (words + 1))
     seen = np.zeros(len(n1), np.int64)
     seen[1:] = n1[:-1] - own
     seen[~inner] = 0

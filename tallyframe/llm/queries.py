@@ -8,10 +8,10 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
 from .license_scan import op5_license_scan
 from .lm_score import op1_lm_score
-from .ngram_join import op3_ngram_join
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op4_packing
 from .quality import op10_quality
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 
 
 def queries():
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_exact_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL}

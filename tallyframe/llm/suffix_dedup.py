@@ -340,3 +340,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", as_text: bool = Fals
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true)::INT AS new FROM s SEMI JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) f ON s.k = f.k),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+c AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM c),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept, sum(hi - lo)::BIGINT AS gone, count(*) AS n FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

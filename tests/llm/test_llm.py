@@ -88,6 +88,56 @@ def test_license(spark):
         assert got[i]["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))
 
 
+def brute_license(text):
+    """All columns of the scan for one text, with loops."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    base, own, shares = [], [], [0.0]
+    for label, phrase, template in license_scan.listed():
+        k, grams = license_scan.K, len(template) - license_scan.K + 1
+        votes = [(i - j, i, j) for i in range(len(words) - k + 1) for j in range(grams) if words[i : i + k] == template[j : j + k]]
+        groups, before = [], None
+        for d in sorted({v[0] for v in votes}):
+            if phrase or before is None or d - before > license_scan.GAP:
+                groups.append([])
+            groups[-1] += [v for v in votes if v[0] == d]
+            before = d
+        for g in groups:
+            last, n = -1, 0
+            for _, _, j in sorted((i, j, j) for _, i, j in g):
+                last, n = (j, n + 1) if j > last else (last, n)
+            shares.append(round(n / grams, 6))
+            if phrase and n == grams:
+                base.append((g[0][0], label))
+            elif not phrase and n / grams >= 0.8:
+                own.append(label)
+    starts = [d for d, _ in base]
+    names = {label for _, label in base}
+    return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(names)), ",".join(sorted(names | set(own))), max(shares)
+
+
+def test_license_of_every_column(spark):
+    rnd = random.Random(12)
+    whole = [" ".join(words) for _, _, words in license_scan.listed()]
+    texts = list(TEXTS)
+    for k in range(120):
+        w = rnd.choice(whole).split()
+        kind = k % 4
+        if kind == 1:  # some words put in and left out
+            for _ in range(rnd.randrange(1, 4)):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randrange(2)] = ["extra"] * rnd.randrange(3)
+        elif kind == 2:  # pieces in another order
+            at = rnd.randrange(1, len(w))
+            w = w[at:] + w[:at]
+        elif kind == 3:
+            w = w[: rnd.randrange(len(w))] * 2
+        texts.append(" ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(20))) + " " + rnd.choice([", ", " "]).join(w).upper() + " tail")
+    got = by_id(license_scan.scan(docs(spark, texts)))
+    keys = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert [tuple(got[i][k] for k in keys) for i in range(len(texts))] == [brute_license(t) for t in texts]
+    assert len({got[i]["labels"] for i in range(len(texts))}) > 8
+
+
 def test_bpe(spark):
     ranks = bpe.load_ranks(PT.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -337,7 +387,7 @@ def test_lm_score_counts_every_event(spark, monkeypatch):
         one, two, total = model
         out = 0.0
         for i, x in enumerate(w):
-            p = (one[x] + 0.1) / (total + 0.1 * vocabulary)
+            p = (one[x] - own + 0.1) / (total - own + 0.1 * vocabulary)
             seen = one[w[i - 1]] - own if i else 0
             if seen > 0:
                 p = 0.6 * (two[w[i - 1], x] - own) / seen + 0.4 * p
@@ -359,6 +409,50 @@ def test_lm_score_counts_every_event(spark, monkeypatch):
             assert got[i]["score"] is None
 
 
+HARD = [(1, None, "de"), (1, None, "de"), (None, "", None), (None, "one two three four five six", "en"), (None, "one two three four five six", "en"), (2, "word " * 60_000, "en"), (3, "a b", "en"), (3, "a b", "fr"), (4, "x" * 300, "en"), (4, "x" * 300, "en"), (5, "— … ", None)]
+
+
+def hard(spark, rows=HARD):
+    """Null and repeated ids, null, empty, equal and very long texts, and columns named as those that operators make."""
+    kind = "doc_id long, text string, lang string, row string, h int, u int, g int, id int, fp int, n int, block int, dedup int, lang_pred int, score int, bucket int, spans int, kept_text int, class_id int, component int"
+    return spark.createDataFrame([(*r, "own", *range(15)) for r in rows], kind)
+
+
+@pytest.mark.parametrize("rows", [HARD, []])
+def test_hard_cases_of_every_operator(spark, rows):
+    d = hard(spark, rows)
+    path = PT.path("byte_bpe_multi_50k.tiktoken")
+    texts = [(i, t or "") for i, t, _ in rows]
+    n_of = collections.Counter(t for _, t in texts)
+    out = lm_score.score(d, lm_score.fit(hard(spark, HARD))).collect()
+    assert len(out) == len(rows) and all((r.score is None) == (r.n_tokens == 0) for r in out)
+    out = suffix_dedup.remove_repeats(d).collect()
+    assert len(out) == len(rows) and all(r.row["row"] == "own" for r in out)
+    assert sorted(r.n_removed for r in out) == sorted(len(t.encode()) if len(t) >= 200 else 0 for _, t in texts)
+    out = ngram_join.ngram_join(d).collect()
+    assert len(out) == len(rows) and sorted(r.n_links for r in out) == sorted(n_of[t] - 1 if re.search(r"\w|—|…", t) else 0 for _, t in texts)
+    out = packing.pack_documents(d).collect()
+    ids = lambda p: sum(r["length"] for r in p)
+    assert (sum(r["start"] == 0 for r in out), ids(out)) == (len(rows), sum(r["doc_tokens"] for r in out if r["start"] == 0))
+    assert sorted(r["n_words"] for r in license_scan.scan(d).collect()) == sorted(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) for _, t in texts)
+    out = bpe.encode_documents(d, path).collect()
+    assert sorted(r.decoded_sha256 for r in out) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in texts)
+    out = exact_dedup.exact_dedup(d).collect()
+    assert len(out) == len(rows) and all(r.dedup.group_size == n_of[r.row.text or ""] and r.row.dedup == 6 for r in out)
+    model = language_id.fit(hard(spark, HARD).where("lang IS NOT NULL"))
+    out = language_id.identify(d, model).collect()
+    assert len(out) == len(rows) and all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.row.text or "")) for r in out)
+
+
+def test_hard_vectors(spark):
+    kind = "vec_id long, embedding array<float>, label int, key string, list int, v int, home int, links int"
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1), (None, None, 1), (3, [], 1), (4, [1.0, None], 1), (5, [0.0, 0.0], 1), (6, [1.0, 0.0], None), (7, [1e30, 0.0], 1)]
+    d = spark.createDataFrame([(*r, "own", 1, 2, 3, 4) for r in rows], kind)
+    got = sorted(((-1 if r.vec_id is None else r.vec_id), r.n_links) for r in embedding_dedup.near_dedup(d).collect())
+    assert got == [(-1, 0), (-1, 3), (1, 3), (1, 3), (3, 0), (4, 0), (5, 0), (6, 0), (7, 3)]
+    assert embedding_dedup.near_dedup(d.where("false")).count() == 0
+
+
 def test_gam():
     x = np.random.default_rng(0).normal(size=(3000, len(quality.NAMES))).astype(np.float32)
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
