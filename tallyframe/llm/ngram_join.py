@@ -8,8 +8,8 @@ all, others are split further. Runs of independent trees are repeated until a pa
 threshold is missed with a chance under TARGET. From the second level on a set picks among
 its KEEP least hashes, which is a sample of it.
 
-At a node with many sets, a leader, the set with the least hash of all there, is compared
-with each of them. A set within 0.3 of the leader need not go further: whatever is within
+Nodes of up to LARGE sets are compared in blocks of BLOCK. At a larger one a leader, the set
+with the least hash of all there, is compared with each of them. A set within 0.3 of the leader need not go further: whatever is within
 0.2 of it is within 0.5 of the leader, by the triangle inequality of the Jaccard distance,
 and is linked to it there. (The estimate that stands for 0.3 is 0.18, three standard errors
 nearer.) Before the runs goes the first level of a pilot tree: a set that it finds within 0.3
@@ -47,8 +47,8 @@ TARGET = 1e-5
 RUNS = int(np.ceil(-np.log(TARGET)))  # and the pilot
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
 KEEP, PROPOSE, SAME = 96, 0.5, 0.82
-#: Sets at a node that are compared all with all; sets in a block.
-SMALL, BLOCK = 1024, 1024
+#: Sets at a node that are compared in one piece; sets in a block; sets at a node that are compared in blocks, before it is split.
+SMALL, BLOCK, LARGE = 1024, 1024, 16_384
 SEEDS = V.mix(np.arange(1, RUNS + 2, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
 
 
@@ -92,9 +92,15 @@ def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], n
     _, number, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
     row, shared = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]]), times > 1
     keep = shared[number]
-    m = np.zeros((len(left) + len(right), int(shared.sum())), np.float32)
-    m[row[keep], (np.cumsum(shared) - 1)[number[keep]]] = 1
-    common = m[: len(left)] @ m[len(left) :].T
+    row, number = row[keep], (np.cumsum(shared) - 1)[number[keep]]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    common, many = np.zeros((len(left), len(right)), np.float32), int(shared.sum())
+    for lo in range(0, many, 4096):
+        p, q = np.searchsorted(number, [lo, lo + 4096])
+        m = np.zeros((len(left) + len(right), min(4096, many - lo)), np.float32)
+        m[row[p:q], number[p:q] - lo] = 1
+        common += m[: len(left)] @ m[len(left) :].T
     whole = lambda sets, n: np.array([x[-1] if k > len(x) else 1 << 32 for x, k in zip(sets, n)], np.int64)
     top = np.minimum.outer(whole(left, nl), whole(right, nr))
     up = np.stack([np.searchsorted(x, t, "right") for x, t in zip(left, top)]) + np.stack([np.searchsorted(x, t, "right") for x, t in zip(right, top.T)]).T
@@ -200,7 +206,10 @@ def descend(rows: DataFrame, about: DataFrame, used: list[DataFrame], levels: in
         once = stats.where(F.col("m") <= SMALL).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node")
         small = rows.join(once, "node").join(about, "fp").select("node", "fp", "n", "sketch").repartition("node").sortWithinPartitions("node")
         edges.append(small.mapInArrow(_compare, "a binary, b binary"))
-        large = stats.where(F.col("m") > SMALL)
+        middle = stats.where(F.col("m").between(SMALL + 1, LARGE)).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("m") / BLOCK).alias("nb"))
+        middle = rows.join(middle, "node").join(about, "fp").select("node", "nb", "fp", "n", F.lit(False).alias("known"), F.col("sketch").alias("payload"))
+        edges.append(block_pairs(middle, "node").mapInArrow(_compare_blocks, "a binary, b binary"))
+        large = stats.where(F.col("m") > LARGE)
         if large.isEmpty():
             break
         lead = large.select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")

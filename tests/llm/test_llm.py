@@ -260,11 +260,12 @@ def brute_links(texts):
     return near, least
 
 
-@pytest.mark.parametrize("small, block", [(128, 512), (8, 16)])
-def test_ngram_join_of_many_near_copies(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small, block, large", [(128, 512, 16_384), (8, 16, 32), (8, 16, 10_000)])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, small, block, large):
     """More sets at a node than are compared all with all, so that leaders, descents and several blocks take part."""
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
     texts = near_copies(random.Random(3), 2, 220) + near_copies(random.Random(4), 40, 3, 20)
     near, least = brute_links(texts)
     got = by_id(ngram_join.ngram_join(docs(spark, texts)))
@@ -438,7 +439,7 @@ def test_hard_cases_of_every_operator(spark, rows):
     out = bpe.encode_documents(d, path).collect()
     assert sorted(r.decoded_sha256 for r in out) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in texts)
     out = exact_dedup.exact_dedup(d).collect()
-    assert len(out) == len(rows) and all(r.dedup.group_size == n_of[r.row.text or ""] and r.row.dedup == 6 for r in out)
+    assert len(out) == len(rows) and all(r.dedup.group_size == n_of[r.row.text or ""] and r.row.dedup == 7 for r in out)
     model = language_id.fit(hard(spark, HARD).where("lang IS NOT NULL"))
     out = language_id.identify(d, model).collect()
     assert len(out) == len(rows) and all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.row.text or "")) for r in out)
@@ -453,6 +454,40 @@ def test_hard_vectors(spark):
     assert embedding_dedup.near_dedup(d.where("false")).count() == 0
 
 
+def test_held_out_rows_of_the_given_tables(spark):
+    """Language and quality of rows that nothing was learned from."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang").collect()}
+    rows = [r for r in language_id.op8_language_id(spark, d).collect() if r.held_out and r.doc_id in lang and r.lang_pred != "und"]
+    assert len(rows) > 200 and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in rows) / len(rows) > 0.98
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in quality.op10_quality(spark, d).collect() if r.held_out and r.doc_id in quality_of]
+    good, bad = ([r.score for r in rows if quality_of[r.doc_id] == k] for k in (1, 0))
+    assert min(len(good), len(bad)) > 5 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
+
+
+def test_gam_scores_are_sums_of_its_tables():
+    """The score of the model against bin after bin of its tables."""
+    x = np.random.default_rng(3).normal(size=(800, len(quality.NAMES))).astype(np.float32)
+    gam = quality.Gam(x, (x[:, 2] + x[:, 3] * x[:, 4] > 0).astype(int))
+    score = gam.score(x)
+    assert score.shape == (800,) and (score >= 0).all() and (score <= 1).all()
+    assert gam.pairs
+    for row, got in list(zip(x, score))[:60]:
+        at = lambda cuts, v: sum(1 for c in cuts if c <= v)
+        f = gam.base + sum(gam.main[j][at(gam.cuts[j], row[j])] for j in range(len(row)))
+        f += sum(lut[at(gam.coarse[a], row[a]), at(gam.coarse[b], row[b])] for a, b, lut in gam.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-9)
+    # rows are scored by themselves, in whatever order and company
+    order = np.random.default_rng(4).permutation(800)
+    np.testing.assert_allclose(gam.score(x[order]), score[order], rtol=0, atol=1e-12)
+    np.testing.assert_allclose([gam.score(x[i : i + 1])[0] for i in range(20)], score[:20], rtol=0, atol=1e-12)
+
+
 def test_gam():
     x = np.random.default_rng(0).normal(size=(3000, len(quality.NAMES))).astype(np.float32)
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
