@@ -37,6 +37,22 @@ def score_consensus(verdicts: DataFrame, teachers: int, key: str = "ex_id") -> D
     return per.where((F.col("n") == teachers) & (F.col("level") == F.col("top"))).select(key, "level")
 
 
+def choice_states(verdicts: DataFrame, teachers: int, key: str = "ex_id") -> DataFrame:
+    """(key, state) of choices: kept if all teachers prefer one option, disputed if they do not, dropped if one is missing."""
+    best = verdicts.groupBy(key, "teacher").agg(F.min(F.struct(-F.col("p"), F.col("option")))["option"].alias("best"))
+    return _states(best, "best", teachers, key)
+
+
+def score_states(verdicts: DataFrame, teachers: int, key: str = "ex_id") -> DataFrame:
+    """(key, state) of levels, in the same way."""
+    return _states(verdicts.where("level IS NOT NULL"), "level", teachers, key)
+
+
+def _states(rows: DataFrame, value: str, teachers: int, key: str) -> DataFrame:
+    per = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+    return per.select(key, F.when(F.col("n") < teachers, "dropped").when(F.col("a") == F.col("b"), "kept").otherwise("disputed").alias("state"))
+
+
 def verified(examples: DataFrame, answers: DataFrame, key: str = "ex_id") -> DataFrame:
     """Examples with an answer take its label; the others stay as they are."""
     return examples.join(answers.select(key, F.col("label").alias("_new")), key, "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .schema import Question
 
 
 def noul_answer(z: Column, temperature: float = 1.0) -> Column:
@@ -25,6 +26,26 @@ def score_answer(z: Column, temperature: float = 1.0) -> Column:
     return F.struct(S.expected_level(p).alias("score"), S.first_max(p).alias("level"), F.array_max(p).alias("confidence"), p.alias("probs"))
 
 
+def answers(df: DataFrame, questions: Sequence[Question], logits: str = "logits", temperatures: Mapping[str, float] | None = None) -> DataFrame:
+    """df with `answers`: a struct of each question's answer, from a map of its name to its logits; null where it has none."""
+    of = temperatures or {}
+
+    def one(q: Question) -> Column:
+        z, t = F.col(logits)[q.name], of.get(q.name, 1.0)
+        answer = noul_answer(F.get(z, F.lit(0)), t) if q.kind == "noul" else choice_answer(z, q.options, t) if q.kind == "choice" else score_answer(z, t)
+        return F.when(z.isNotNull(), answer).alias(q.name)
+
+    return df.withColumn("answers", F.struct(*[one(q) for q in questions if q.kind != "spans"]))
+
+
+def answer_rows(df: DataFrame, questions: Sequence[Question], key: str, logits: str = "logits", temperatures: Mapping[str, float] | None = None) -> DataFrame:
+    """(key, question, value, confidence): one row an answer; value: p, the option's name, or the expected level."""
+    rows = answers(df, questions, logits, temperatures)
+    value = {"noul": "p", "choice": "choice", "score": "score"}
+    each = [F.struct(F.lit(q.name).alias("question"), F.col(f"answers.{q.name}.{value[q.kind]}").cast("string").alias("value"), F.col(f"answers.{q.name}.confidence").alias("confidence")) for q in questions if q.kind != "spans"]
+    return rows.select(key, F.explode(F.array(*each)).alias("_x")).select(key, "_x.*").where("confidence IS NOT NULL")
+
+
 def restricted(probs: Column, options: Column) -> Column:
     """A map of probabilities cut to the options asked for and renormalised; uniform if nothing is left."""
     kept = F.map_filter(probs, lambda k, _: F.array_contains(options, k))

@@ -769,3 +769,23 @@ def synth_generate(spark, d):
     rush = synth.parse_template("rush", "family: shop/rush\nweight: 0\nlabel.urgent: true\n---\n {{one:Today|By noon}}!")
     corpus = synth.Corpus([order, rush], {"brand": synth.Gazetteer([(r.p_brand, float(r.n)) for r in brands])})
     return synth.synthesize(spark, corpus, 500, 3).withColumn("labels", F.to_json("labels"))
+
+
+@query("""WITH v AS (SELECT o_custkey AS ex_id, o_orderstatus AS teacher, min(o_orderpriority) AS level FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
+p AS (SELECT ex_id, count(*) AS n, min(level) AS a, max(level) AS b FROM v GROUP BY 1)
+SELECT CASE WHEN n < 2 THEN 'dropped' WHEN a = b THEN 'kept' ELSE 'disputed' END AS state, count(*) AS n FROM p GROUP BY 1""")
+def score_disputes(spark, d):
+    v = _t(spark, d, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("ex_id"), F.col("o_orderstatus").alias("teacher")).agg(F.min("o_orderpriority").alias("level"))
+    return C.score_states(v, 2).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""WITH z AS (SELECT event_id, value / 50 - 1 AS a, [value / 40, (event_id % 7) / 3.0::DOUBLE] AS b FROM events),
+p AS (SELECT event_id, 1 / (1 + exp(-a / 1.5)) AS p, CASE WHEN b[1] >= b[2] THEN 'x' ELSE 'y' END AS c, exp(greatest(b[1], b[2])) / (exp(b[1]) + exp(b[2])) AS q FROM z)
+SELECT event_id, 'spam' AS question, round(p, 6) AS value, '' AS choice, round(greatest(p, 1 - p), 6) AS confidence FROM p
+UNION ALL SELECT event_id, 'kind', NULL, c, round(q, 6) FROM p""")
+def decide_schema(spark, d):
+    """Answers of a schema of two questions at once."""
+    value = F.col("value").cast("double")
+    z = F.create_map(F.lit("spam"), F.array(value / 50 - 1), F.lit("kind"), F.array(value / 40, F.col("event_id") % 7 / 3.0))
+    rows = decide.answer_rows(_t(spark, d, "events").select("event_id", z.alias("logits")), [schema.noul("spam"), schema.choice("kind", "", "x", "y")], "event_id", temperatures={"spam": 1.5})
+    return rows.select("event_id", "question", _r(F.col("value").try_cast("double")).alias("value"), F.when(F.col("question") == "kind", F.col("value")).otherwise("").alias("choice"), _r("confidence").alias("confidence"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,14 @@ SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u20
 EXAMPLE = "context string, text string, labels variant, family string, split string, meta map<string,string>"
 
 
+def listed(*paths: str) -> list[str]:
+    """Paths, each of which may be a list with commas and begin in the home folder; blanks are left out."""
+    return [os.path.expanduser(p) for part in paths for p in map(str.strip, part.split(",")) if p]
+
+
 def read_examples(spark: SparkSession, *paths: str) -> DataFrame:
-    """Examples from JSON lines, labels as VARIANT; empty lines are skipped, bad JSON fails."""
-    lines = spark.read.text(list(paths)).where("value <> ''")
+    """Examples from JSON lines, labels as VARIANT; empty lines are skipped, bad JSON fails. paths: as in listed(); folders and patterns are Spark's."""
+    lines = spark.read.text(listed(*paths)).where("value <> ''")
     return lines.select(F.from_json("value", EXAMPLE, {"mode": "FAILFAST"}).alias("e")).select("e.*")
 
 

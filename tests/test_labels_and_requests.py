@@ -187,3 +187,33 @@ def test_pruning_keeps_ids_in_order_and_merges_whole(spark, byte_bpe, tmp_path):
     small = {(r.a, r.b): r.rank for r in left}
     for w in ("lower", "low", "newest"):
         assert tokens.merge_symbols(list(w), small)[-1] == tokens.merge_symbols(list(w), tokens._ranks(byte_bpe))[-1]
+
+
+def test_examples_of_several_files_and_back(spark, tmp_path):
+    rows = [{"text": "a", "labels": {"q": True}, "family": "f"}, {"context": "c", "text": "b", "labels": {"q": 0.5, "t": {"x": 1}}, "meta": {"k": "v"}}]
+    for name, part in (("one", rows[:1]), ("two", rows[1:])):
+        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in part) + "\n\n")
+    df = examples.read_examples(spark, f"{tmp_path}/one, {tmp_path}/two,")
+    got = {r.text: r for r in df.select("text", "context", "family", "meta", F.to_json("labels").alias("l")).collect()}
+    assert set(got) == {"a", "b"} and json.loads(got["b"].l) == rows[1]["labels"] and got["b"].meta == {"k": "v"} and got["a"].family == "f"
+    examples.write_examples(df, str(tmp_path / "out"))
+    again = {r.text: json.loads(r.l) for r in examples.read_examples(spark, str(tmp_path / "out")).select("text", F.to_json("labels").alias("l")).collect()}
+    assert again == {"a": {"q": True}, "b": {"q": 0.5, "t": {"x": 1}}}
+    (tmp_path / "bad").write_text('{"text": \n')
+    with pytest.raises(Exception):
+        examples.read_examples(spark, str(tmp_path / "bad")).collect()
+
+
+def test_sources_of_other_kinds(spark, tmp_path):
+    (tmp_path / "g.tsv").write_text("# names\nAda\t3\t{\"k\":\"v\"}\nBo\n\n")
+    got = {r.value: (r.weight, r.metadata) for r in examples.read_gazetteer(spark, str(tmp_path / "g.tsv")).collect()}
+    assert got == {"Ada": (3.0, {"k": "v"}), "Bo": (1.0, None)}
+    (tmp_path / "p.jsonl").write_text('{"query":"q","document":"d","negatives":["n"]}\n')
+    assert examples.read_search_pairs(spark, str(tmp_path / "p.jsonl")).first().negatives == ["n"]
+    (tmp_path / "e.jsonl").write_text('{"query":"","document":"d"}\n')
+    with pytest.raises(Exception):
+        examples.read_search_pairs(spark, str(tmp_path / "e.jsonl")).collect()
+    (tmp_path / "s.json").write_text('[{"name":"q","kind":"choice","options":["a",{"name":"b","description":"B"}]}]')
+    assert examples.load_schema(str(tmp_path / "s.json"))[0]["options"] == ["a", "b"]
+    v = spark.createDataFrame([("x", [0.5, 1.0])], "id string, v array<double>")
+    assert examples.vectors_json(v, "id", "v").first()[0] == '{"id":"x","embedding":[0.5,1.0]}'
