@@ -69,7 +69,8 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 def read_search_pairs(spark: SparkSession, *paths: str) -> DataFrame:
     pairs = spark.read.schema("query_id string, query string, document_id string, document string, negatives array<string>").json(list(paths))
-    return pairs.select("*", F.assert_true((F.col("query") != "") & (F.col("document") != ""), F.lit("query and document are needed")).alias("ok")).drop("ok")
+    given = F.coalesce((F.col("query") != "") & (F.col("document") != ""), F.lit(False))
+    return pairs.where(F.assert_true(given, F.lit("query and document are needed")).isNull())
 
 
 def load_schema(path: str) -> list[dict]:
