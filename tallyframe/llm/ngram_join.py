@@ -48,7 +48,7 @@ RUNS = int(np.ceil(-np.log(TARGET)))  # and the pilot
 #: Least hashes kept of a set; estimates from which on a pair is proposed, and a set is taken to be as good as its leader.
 KEEP, PROPOSE, SAME = 96, 0.5, 0.82
 #: Sets at a node that are compared in one piece; sets in a block; sets at a node that are compared in blocks, before it is split.
-SMALL, BLOCK, LARGE = 1024, 1024, 16_384
+SMALL, BLOCK, LARGE = 2048, 2048, 16_384
 SEEDS = V.mix(np.arange(1, RUNS + 2, dtype=V.U64) * V.U64(0xA24BAED4963EE407))
 
 
