@@ -87,10 +87,17 @@ def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> float:
     return common / max(int(both), 1)
 
 
-def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], nr: np.ndarray) -> np.ndarray:
-    """The same for all of left against all of right."""
-    _, number, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
-    row, shared = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]]), times > 1
+def proposals(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray] | None = None, nr: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (place in left, place in right) whose estimate is PROPOSE or more; without right those within left.
+
+    A pair's union has as many hashes under the lesser bound as the shorter sketch or more, so
+    only pairs with a share of those in common are counted out.
+    """
+    alone, sets = right is None, [*left, *(right or [])]
+    right, nr, begin = (left, nl, 0) if alone else (right, nr, len(left))
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    size = np.array([len(x) for x in sets], np.int64)
+    row, shared = np.repeat(np.arange(len(size)), size), times > 1  # what one set alone has is in no pair
     keep = shared[number]
     row, number = row[keep], (np.cumsum(shared) - 1)[number[keep]]
     order = np.argsort(number, kind="stable")
@@ -98,13 +105,24 @@ def estimates(left: list[np.ndarray], nl: np.ndarray, right: list[np.ndarray], n
     common, many = np.zeros((len(left), len(right)), np.float32), int(shared.sum())
     for lo in range(0, many, 4096):
         p, q = np.searchsorted(number, [lo, lo + 4096])
-        m = np.zeros((len(left) + len(right), min(4096, many - lo)), np.float32)
+        m = np.zeros((len(sets), min(4096, many - lo)), np.float32)
         m[row[p:q], number[p:q] - lo] = 1
-        common += m[: len(left)] @ m[len(left) :].T
-    whole = lambda sets, n: np.array([x[-1] if k > len(x) else 1 << 32 for x, k in zip(sets, n)], np.int64)
-    top = np.minimum.outer(whole(left, nl), whole(right, nr))
-    up = np.stack([np.searchsorted(x, t, "right") for x, t in zip(left, top)]) + np.stack([np.searchsorted(x, t, "right") for x, t in zip(right, top.T)]).T
-    return common / np.maximum(up - common, 1)
+        common += m[: len(left)] @ m[begin:].T
+    most = (1 + PROPOSE) / PROPOSE
+    near = (common > 0) & (most * common >= np.minimum.outer(size[: len(left)], size[begin:]))
+    x, y = np.nonzero(np.triu(near, 1) if alone else near)
+    bound = lambda sets, n: np.array([s[-1] if k > len(s) else 1 << 32 for s, k in zip(sets, n)], np.int64)
+    top = np.minimum(bound(left, nl)[x], bound(right, nr)[y])
+
+    def under(sets: list[np.ndarray], i: np.ndarray) -> np.ndarray:
+        """How many hashes of set i are up to `top`: all sets stand one after another, each in a range of its own."""
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        flat = np.concatenate(sets).astype(np.int64) + (np.repeat(np.arange(len(sets)), np.diff(ends)) << 33)
+        return np.searchsorted(flat, (i << 33) + top, "right") - ends[i]
+
+    both = common[x, y]
+    fine = both >= PROPOSE * (under(left, x) + under(right, y) - both)
+    return x[fine], y[fine]
 
 
 def _stars(fp: list, x: np.ndarray, y: np.ndarray, known: np.ndarray) -> list[tuple]:
@@ -139,7 +157,7 @@ def _compare(batches):
         if len(fp) == 2:
             out = [(fp[1], fp[0])] if estimate(sets[0], n[0], sets[1], n[1]) >= PROPOSE else []
         else:
-            out = _stars(fp, *np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1)), np.zeros(0, np.int64))
+            out = _stars(fp, *proposals(sets, n), np.zeros(0, np.int64))
         if out:
             yield _edges(out)
 
@@ -166,9 +184,9 @@ def _compare_blocks(batches):
     for fp, n, known, payload, many, alone in _blocks(batches, "node"):
         sets = [np.frombuffer(x, "<u4") for x in payload]
         if alone:
-            x, y = np.nonzero(np.triu(estimates(sets, n, sets, n) >= PROPOSE, 1))
+            x, y = proposals(sets, n)
         else:
-            x, y = np.nonzero(estimates(sets[:many], n[:many], sets[many:], n[many:]) >= PROPOSE)
+            x, y = proposals(sets[:many], n[:many], sets[many:], n[many:])
             y = y + many
         if out := _stars(fp, x, y, np.flatnonzero(known)):
             yield _edges(out)
