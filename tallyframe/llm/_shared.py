@@ -52,6 +52,23 @@ def drop_table(df: DataFrame) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of the map of keys that may_match broadcasts, whatever the tables' sizes (4 MB), and bits of a page of it.
+BITS, PAGE = 1 << 25, 1 << 15
+
+
+def may_match(rows: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose key may be among those of the others, so that a join to them moves few rows that it would drop.
+
+    The hashes of the others' keys are set in a map of BITS bits. No row with a match is lost (null matches
+    null); the more keys there are the more rows pass that have none, so a join must follow.
+    """
+    slot = lambda name: F.pmod(F.xxhash64(name), F.lit(BITS))
+    pages = others.select(slot(other).alias("slot")).groupBy(F.expr(f"slot div {PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(slot % {PAGE})").alias("bits"))
+    at = (slot(key) % PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, 1)), 16, 10).cast("int")
+    return rows.join(F.broadcast(pages), (F.shiftright(slot(key), PAGE.bit_length() - 1) == F.col("page")) & (F.getbit(byte, at % 8) == 1), "left_semi")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null has 0."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % n, F.lit(0))

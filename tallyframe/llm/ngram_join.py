@@ -13,7 +13,8 @@ with the least hash of all there, is compared with each of them. A set within 0.
 0.2 of it is within 0.5 of the leader, by the triangle inequality of the Jaccard distance,
 and is linked to it there. (The estimate that stands for 0.3 is 0.18, three standard errors
 nearer.) Before the runs goes the first level of a pilot tree: a set that it finds within 0.3
-of a leader leaves the runs for good, if that leader stays. So a large group of near copies takes
+of a leader leaves the runs for good, if that leader stays; its nodes of up to LARGE sets are
+compared with those of the runs. So a large group of near copies takes
 steps in proportion to its size, in one tree. What still is together at the last level is
 compared in blocks.
 
@@ -23,6 +24,9 @@ component by exact Jaccard similarity, so that the links of a document are count
 a row a pair. Components of more than BLOCK sets are packed into blocks, a row each, and
 blocks are paired, not sets.
 
+Little moves: of the many sets alone at their node, of sketches that no node needs and of texts
+outside the components most are told by a bitmap (`may_match`) before a join deals them.
+
 Cases: null and empty texts have no shingle and link with nothing; texts of one to four
 words have one shingle, all their words. Rows with equal sets are copies and count as links
 of each other. Ids may repeat or be null; columns beside id and text are ignored. An empty
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._shared import components, drop_table, small_batches, table
+from ._shared import components, drop_table, may_match, small_batches, table
 
 SHINGLE, THRESHOLD, LEVELS = 5, 0.8, 4
 #: A pair at the threshold is missed at the first level of all trees with a smaller chance: a tree has no shared pick with 1/e at most.
@@ -218,20 +222,22 @@ def descend(rows: DataFrame, about: DataFrame, used: list[DataFrame], levels: in
         return used[-1]
 
     for level in range(1, levels + 1):
-        sized = rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig"), F.min_by("fp", F.xxhash64("fp")).alias("leader")).where("m > 1")
-        stats = kept(sized, "nodes")
+        stats = kept(rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("sig")).where("m > 1"), "nodes")
         # nodes of the same sets, in whatever tree, are compared once
-        once = stats.where(F.col("m") <= SMALL).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node")
-        small = rows.join(once, "node").join(about, "fp").select("node", "fp", "n", "sketch").repartition("node").sortWithinPartitions("node")
+        once = stats.where(F.col("m") <= LARGE).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", "m")
+        take = kept(once.unionByName(stats.where(F.col("m") > LARGE).select("node", "m")), "take")
+        # most sets are alone at their node and stay where they are; the others meet their sketches once, whatever their node's size
+        met = kept(may_match(rows, "node", take, "node").join(take, "node").select("node", "m", "fp"), "met")
+        here = kept(met.join(may_match(about, "fp", met, "fp"), "fp").select("node", "m", "fp", "n", "sketch"), "here")
+        small = here.where(F.col("m") <= SMALL).select("node", "fp", "n", "sketch").repartition("node").sortWithinPartitions("node")
         edges.append(small.mapInArrow(_compare, "a binary, b binary"))
-        middle = stats.where(F.col("m").between(SMALL + 1, LARGE)).groupBy("m", "sig").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("m") / BLOCK).alias("nb"))
-        middle = rows.join(middle, "node").join(about, "fp").select("node", "nb", "fp", "n", F.lit(False).alias("known"), F.col("sketch").alias("payload"))
+        middle = here.where(F.col("m").between(SMALL + 1, LARGE)).select("node", F.ceil(F.col("m") / BLOCK).alias("nb"), "fp", "n", F.lit(False).alias("known"), F.col("sketch").alias("payload"))
         edges.append(block_pairs(middle, "node").mapInArrow(_compare_blocks, "a binary, b binary"))
-        large = stats.where(F.col("m") > LARGE)
+        large = here.where(F.col("m") > LARGE).select("node", "fp", "n", "sketch")
         if large.isEmpty():
             break
-        lead = large.select("node", "leader").join(about.select(F.col("fp").alias("leader"), F.col("n").alias("ln"), F.col("sketch").alias("lsketch")), "leader")
-        down = rows.join(lead, "node").join(about, "fp").select("node", "fp", "n", "sketch", "leader", "ln", "lsketch")
+        lead = large.groupBy("node").agg(F.min_by(F.struct("fp", "n", "sketch"), F.xxhash64("fp")).alias("l")).select("node", F.col("l.fp").alias("leader"), F.col("l.n").alias("ln"), F.col("l.sketch").alias("lsketch"))
+        down = large.join(lead, "node").select("node", "fp", "n", "sketch", "leader", "ln", "lsketch")
         down = kept(down.mapInArrow(_descend(level), "node bigint, fp binary, leader binary, alike double, children array<bigint>"), "down")
         others = down.where(F.col("fp") != F.col("leader"))
         edges.append(others.where(F.col("alike") >= PROPOSE).select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct())
@@ -242,7 +248,7 @@ def descend(rows: DataFrame, about: DataFrame, used: list[DataFrame], levels: in
         apart = down.groupBy("node").agg(F.min("alike").alias("least"), F.count_if(F.col("alike") < SAME).alias("m")).where(F.col("least") < PROPOSE).select("node", "m")
         on = down.where(F.col("alike") < SAME).join(apart, "node")
         if level < LEVELS:
-            rows = kept(on.select(F.explode("children").alias("node"), "fp").distinct(), "rows")
+            rows = kept(on.select(F.explode(F.array_distinct("children")).alias("node"), "fp"), "rows")
         else:
             rest = on.join(about, "fp").select("node", F.ceil(F.col("m") / BLOCK).alias("nb"), "fp", "n", (F.col("alike") >= PROPOSE).alias("known"), F.col("sketch").alias("payload"))
             edges.append(block_pairs(rest, "node").mapInArrow(_compare_blocks, "a binary, b binary"))
@@ -252,15 +258,19 @@ def descend(rows: DataFrame, about: DataFrame, used: list[DataFrame], levels: in
 def propose(sets: DataFrame, used: list[DataFrame]) -> DataFrame:
     """sets: (fp, n, sketch, pilot, nodes), one row a class. The pairs (a, b) that link what the trees put together; `used` gets the tables that they are read from."""
     about = sets.select("fp", "n", "sketch")
-    edges, near = descend(sets.select(F.explode("pilot").alias("node"), "fp").distinct(), about, used, 1)
-    left = sets.select("fp", "nodes")
-    if near:
+    pilot, left, edges = sets.select(F.explode("pilot").alias("node"), "fp"), sets.select("fp", "nodes"), []
+    large = table(pilot.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > LARGE).select("node"), "large")
+    used.append(large)
+    if not large.isEmpty():
+        edges, near = descend(pilot.join(large, "node"), about, used, 1)
+        # the pilot's other nodes are compared with those of the runs
+        pilot = pilot.join(large, "node", "left_anti")
         like = near[0]
         # a leader that is itself near another one keeps its followers in the runs to come
         gone = like.join(like.select(F.col("fp").alias("leader")).distinct(), "leader", "left_anti").select("fp").distinct()
         left = table(left.join(gone, "fp", "left_anti"), "left")
         used.append(left)
-    edges += descend(left.select(F.explode("nodes").alias("node"), "fp").distinct(), about, used)[0]
+    edges += descend(left.select(F.explode("nodes").alias("node"), "fp").unionByName(pilot), about, used)[0]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -349,18 +359,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, class_id, n_links, n_shingles, text_hash) for every row: the least id of what it is linked to, over any number of links, and the number of documents that it is linked to directly."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    all_rows = table(sketches(docs), "sketches")
-    some = all_rows.where("fp IS NOT NULL")
+    whole = table(sketches(docs), "sketches")
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", "pilot", "nodes")]
-    sets = table(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *firsts), "sets")
+    sets = table(whole.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *firsts), "sets")
+    # sketches and children are with the classes now
+    all_rows = table(whole.select("doc_id", "n", "fp", "text_hash"), "rows")
+    drop_table(whole)
+    some = all_rows.where("fp IS NOT NULL")
     used: list[DataFrame] = []
-    member = table(components(propose(sets, used)).withColumnRenamed("id", "fp"), "proposed")
+    proposed = table(components(propose(sets, used)).withColumnRenamed("id", "fp"), "proposed")
     for gone in used:
         drop_table(gone)
-    size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    member = member.join(size, "component").join(sets.select("fp", F.col("doc_id").alias("rep"), F.col("copies").alias("n")), "fp")
+    size = proposed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    member = table(proposed.join(size, "component").join(sets.select("fp", F.col("doc_id").alias("rep"), F.col("copies").alias("n")), "fp"), "members")
     # one row a class where ids do not repeat; of rows that repeat id and text any may stand for it
-    texts = table(member.join(docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "nb", "fp", "n", "text"), "texts")
+    texts = table(member.join(may_match(docs, "doc_id", member, "rep"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("component", "nb", "fp", "n", "text"), "texts")
+    for gone in (proposed, member):
+        drop_table(gone)
     within = texts.where("nb = 1").select("component", "fp", F.col("n").alias("copies"), "text").repartition("component").sortWithinPartitions("component")
     blocks = texts.where("nb > 1").mapInArrow(_as_sets, "component binary, nb bigint, fp binary, n bigint, known boolean, payload binary")
     blocks = blocks.groupBy("component", "nb", "fp", "n", "known").agg(F.first("payload").alias("payload"))

@@ -273,6 +273,46 @@ def test_ngram_join_of_many_near_copies(spark, monkeypatch, small, block, large)
     assert [got[i]["class_id"] for i in range(len(texts))] == least
 
 
+def shuffled(spark, run):
+    """What run() returns, and the bytes that its stages wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: (lambda seq: [seq.apply(i) for i in range(seq.size())])(store.stageList(None, False, False, getattr(spark._jvm, "scala").Array.emptyDoubleArray(), None))
+    before = {x.stageId() for x in stages()}
+    out = run()
+    return out, sum(x.shuffleWriteBytes() for x in stages() if x.stageId() not in before)
+
+
+def test_ngram_join_moves_texts_of_candidates_only(spark):
+    """Texts that are in no proposed pair stay where they are, where no join is a broadcast for its size."""
+    rnd = random.Random(11)
+    texts = [" ".join(f"{rnd.getrandbits(64):x}" for _ in range(1000)) for _ in range(300)]
+    texts += [t + " tail" for t in texts[:10]]
+    d = docs(spark, texts).repartition(4).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, moved = shuffled(spark, lambda: by_id(ngram_join.ngram_join(d)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [i for i in range(310) if got[i]["n_links"]] == [*range(10), *range(300, 310)]
+    assert 0 < moved < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 16])
+def test_may_match_loses_no_match(spark, monkeypatch, bits):
+    """Null matches null; a map that is full lets rows pass."""
+    from tallyframe.llm import _shared
+
+    monkeypatch.setattr(_shared, "BITS", bits)
+    rows = spark.range(200_000).selectExpr("nullif(id, 7) AS k", "cast(id AS string) AS s")
+    for key in ("k", "s"):
+        some = rows.where("k IS NULL OR k % 3 = 0").withColumnRenamed(key, "o")
+        out = _shared.may_match(rows, key, some, "o")
+        assert out.where("k IS NULL OR k % 3 = 0").count() == 66_668
+        assert out.count() < 67_500 if bits == 1 << 25 else out.count() > 66_668
+    assert _shared.may_match(rows, "k", rows.where("false"), "k").count() == 0
+
+
 def test_suffix(spark):
     texts = TEXTS + ["q" * 250]
     raw = [(t or "").encode() for t in texts]
