@@ -198,6 +198,38 @@ def test_pieces_whose_hashes_collide_keep_their_own_ids(monkeypatch, collide):
             assert [ids[a:b].tolist() for a, b in zip(border[:-1], border[1:])] == [exact(t) for t in part]
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_have_the_ids_of_tokenizers(file):
+    """Words of all characters of up to three bytes, more than go at once, also by a file that is not byte-level alone."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PT.path(file))
+    words = [c.encode() for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff"] + [(" " * RND.randint(0, 1) + "".join(RND.choices("aeinrst0é日🙂", k=RND.randint(1, 60)))).encode() for _ in range(3000)]
+    flat, size = packing.Coder(PT.path(file)).ids_of(words)
+    ends = np.cumsum(size).tolist()
+    assert [flat[b - n : b].tolist() for b, n in zip(ends, size.tolist())] == [tok.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
+def test_new_words_do_not_take_an_encoding_each():
+    """Encoding each new word by itself took most of the time of op4_packing."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **how):
+            made.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **how)
+
+    made, coder = [], packing.Coder(PT.path("byte_bpe_50k.json"))
+    for name, part in list(vars(coder).items()):
+        if isinstance(part, Tokenizer):
+            setattr(coder, name, Counted(part))
+    assert len(coder.ids_of([b" w%d" % i for i in range(5000)])[1]) == 5000
+    assert 0 < sum(made) <= 5
+
+
 def test_plan_is_best_fit_decreasing():
     for _ in range(100):
         size = RND.choice([7, 16, 64])
