@@ -10,6 +10,7 @@ import json
 import os
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,12 +45,30 @@ def opened(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters of the texts whose encodings a worker holds at once (an encoding takes many times its text); a longer text is alone.
+AT_ONCE = 1 << 18
+
+
+def encodings(given: list, path: str, special: bool = False):
+    """The encodings of texts or pairs, one after another; AT_ONCE bounds those that are held."""
+    group, n = [], 0
+    for g in given:
+        size = len(g) if isinstance(g, str) else len(g[0]) + len(g[1])
+        if group and n + size > AT_ONCE:
+            yield from opened(path).encode_batch_fast(group, add_special_tokens=special)
+            group, n = [], 0
+        group.append(g)
+        n += size
+    if group:
+        yield from opened(path).encode_batch_fast(group, add_special_tokens=special)
+
+
 def token_ids(text: Column, path: str, special: bool = False, parallel_to: Column | None = None) -> Column:
     """Ids of a text, or of a pair (text, context); a null text is empty."""
 
     def ids(texts: pd.Series, pairs: pd.Series | None = None) -> pd.Series:
         given = texts.fillna("").tolist() if pairs is None else list(zip(texts.fillna(""), pairs.fillna("")))
-        return pd.Series([e.ids for e in opened(path).encode_batch_fast(given, add_special_tokens=special)])
+        return pd.Series([np.array(e.ids, np.int32) for e in encodings(given, path, special)], dtype=object)
 
     if parallel_to is None:
         return F.pandas_udf(lambda texts: ids(texts), "array<int>", F.PandasUDFType.SCALAR)(text)
@@ -73,7 +92,12 @@ def token_offsets(text: Column, path: str) -> Column:
 
 
 def n_tokens(text: Column, path: str) -> Column:
-    return F.size(token_ids(text, path))
+    """Number of tokens of a text; no ids leave the worker."""
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(e) for e in encodings(texts.fillna("").tolist(), path)], dtype="int32")
+
+    return F.pandas_udf(count, "int", F.PandasUDFType.SCALAR)(text)
 
 
 def core_start(text: str, start: int, end: int) -> int:

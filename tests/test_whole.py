@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tallyframe.functions import tokens
 from tallyframe.operators import open_mode, spans
 from tallyframe.plans import registry
 
@@ -49,3 +50,33 @@ def test_viterbi_of_many_is_viterbi_of_each():
     logp = np.log(rnd.dirichlet(np.ones(7), lengths.sum())).round(1)
     ends = np.cumsum(lengths)
     assert spans.viterbi_all(logp, lengths, 0.3).tolist() == [t for n, e in zip(lengths, ends) for t in spans.viterbi(logp[e - n : e], 0.3)]
+
+
+def test_encodings_are_held_for_a_bounded_number_of_characters(monkeypatch):
+    import public_tokenizers
+
+    path, held = public_tokenizers.path("byte_bpe_50k.json"), []
+    real = tokens.opened(path)
+
+    class Seen:
+        def encode_batch_fast(self, given, add_special_tokens):
+            held.append(sum(map(len, given)) if len(given) > 1 else 0)
+            return real.encode_batch_fast(given, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(tokens, "opened", lambda path: Seen())
+    texts = ["", "été " * 40_000, *(f"word {i} of a text " * (i % 90) for i in range(2000)), "z" * (tokens.AT_ONCE + 1), "end"]
+    got = [e.ids for e in tokens.encodings(texts, path)]
+    assert got == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(held) > 3 and max(held) <= tokens.AT_ONCE
+
+
+def test_token_counts_of_one_batch(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "one", "héllo wörld " * 30_000, *(f" {i} words" * (i % 40) for i in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: tokens.opened(path).encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in registry.queries()["token_counts"](spark, str(tmp_path)).collect()} == {i: len(w) for i, w in want.items()}
+    assert {r.doc_id: r.ids for r in df.select("doc_id", tokens.token_ids("text", path).alias("ids")).collect()} == want
