@@ -90,6 +90,23 @@ def viterbi_all(logp: np.ndarray, lengths: np.ndarray, bias: float = 0.0) -> np.
     return out
 
 
+#: Tokens that a worker decodes at once; a longer sequence is alone.
+AT_ONCE = 1 << 17
+
+
+def viterbi_groups(logp: np.ndarray, lengths: np.ndarray, bias: float = 0.0) -> np.ndarray:
+    """viterbi_all() in groups of AT_ONCE tokens, which bound the memory; sequences of like length are together, so that steps are few."""
+    start, order, out = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable"), np.zeros(len(logp), np.int32)
+    ends, a = np.cumsum(lengths[order]), 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(ends, AT_ONCE + (ends[a - 1] if a else 0), "right")))
+        own, n = order[a:b], lengths[order[a:b]]
+        at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[at] = viterbi_all(logp[at], n, bias)
+        a = b
+    return out
+
+
 def decode(df: DataFrame, logp: str, bias: float = 0.0) -> DataFrame:
     """df with `tags`; logp is an array of arrays, a row a token. Batches go through Arrow."""
     import pyarrow as pa
@@ -100,9 +117,9 @@ def decode(df: DataFrame, logp: str, bias: float = 0.0) -> DataFrame:
         inner = rows.flatten()
         width = inner.value_lengths().unique().to_pylist()
         if len(width) > 1 or width == [None]:
-            return [None if r is None else viterbi(np.array(r, float).reshape(len(r), -1), bias) if r else [] for r in rows.to_pylist()]
+            return [None if r is None else viterbi(np.array(r, float).reshape(len(r), -1), bias) if r else [] for r in (row.as_py() for row in rows)]
         lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = viterbi_all(inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1), lengths, bias) if width else np.zeros(0, np.int32)
+        flat = viterbi_groups(inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1), lengths, bias) if width else np.zeros(0, np.int32)
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=rows.is_null() if rows.null_count else None)
 

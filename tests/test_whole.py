@@ -80,3 +80,13 @@ def test_token_counts_of_one_batch(spark, tmp_path):
     want = {i: tokens.opened(path).encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_tokens for r in registry.queries()["token_counts"](spark, str(tmp_path)).collect()} == {i: len(w) for i, w in want.items()}
     assert {r.doc_id: r.ids for r in df.select("doc_id", tokens.token_ids("text", path).alias("ids")).collect()} == want
+
+
+def test_viterbi_in_groups_holds_a_bounded_number_of_tokens(monkeypatch):
+    rnd, seen, real = np.random.default_rng(3), [], spans.viterbi_all
+    monkeypatch.setattr(spans, "AT_ONCE", 64)
+    monkeypatch.setattr(spans, "viterbi_all", lambda z, n, bias: seen.append(n.tolist()) or real(z, n, bias))
+    for lengths in (rnd.integers(0, 40, 60), np.array([0, 200, 1, 64, 0, 65]), np.zeros(3, int), np.zeros(0, int)):
+        logp = np.log(rnd.dirichlet(np.ones(5), int(lengths.sum()))).round(1).reshape(-1, 5)
+        assert spans.viterbi_groups(logp, lengths, 0.3).tolist() == real(logp, lengths, 0.3).tolist()
+    assert all(len(n) == 1 or sum(n) <= 64 for n in seen)
