@@ -123,3 +123,27 @@ def test_a_smaller_vocabulary_keeps_its_rows():
     m, kept = model(), [3, 5, 11, 39]
     small = m.with_vocabulary(kept)
     np.testing.assert_allclose(small.pooled([np.array([0, 3, 2])]), m.pooled([np.array([3, 39, 11])]), atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [1, 8])
+def test_blocks_of_long_sequences_change_nothing(monkeypatch, scale):
+    m, rng = model(), np.random.default_rng(5)
+    m = E.Encoder(m.config, {n: w * scale if "Wqkv" in n else w for n, w in m.weights.items()})
+    sequences = [rng.integers(0, 40, n) for n in (1, 17, 0, 5, 24)]
+    monkeypatch.setattr(E, "BLOCK", 4)
+    monkeypatch.setattr(E, "SCORES", 50)
+    got, border = m.hidden(sequences)
+    for s, a, b in zip(sequences, border[:-1], border[1:]):
+        if len(s):
+            np.testing.assert_allclose(got[a:b], plain(m, s.tolist()), atol=2e-4 * scale)
+
+
+def test_texts_of_one_partition_are_dealt_to_all_cores(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    config = E.Config(hidden_size=16, num_hidden_layers=2, num_attention_heads=2, intermediate_size=12, vocab_size=50_257)
+    rows = [(i, f"text {i}" if i else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    got = E.embed(df, "t", E.Encoder(config, E.random_weights(config, 1)), public_tokenizers.path("byte_bpe_50k.json"), "query: ").withColumn("at", F.spark_partition_id()).collect()
+    assert sorted(r.k for r in got) == list(range(40)) and len({r.at for r in got}) >= spark.sparkContext.defaultParallelism
